@@ -2,7 +2,18 @@
 
 from __future__ import annotations
 
-from . import license_scan, packing, quality_classifier, quality_rules, secret_scan, simhash, winnowing
+from . import (
+    license_scan,
+    packing,
+    pii,
+    quality_classifier,
+    quality_rules,
+    secret_scan,
+    sentencepiece_codec,
+    simhash,
+    toxicity,
+    winnowing,
+)
 
 
 def queries() -> dict:
@@ -13,6 +24,9 @@ def queries() -> dict:
         "op4_winnowing": winnowing.op4_winnowing,
         "op5_quality_classifier": quality_classifier.op5_quality_classifier,
         "op6_simhash_dedup": simhash.op6_simhash_dedup,
+        "op7_pii": pii.op7_pii,
+        "op8_sentencepiece": sentencepiece_codec.op8_sentencepiece,
+        "op9_toxicity": toxicity.op9_toxicity,
         "op10_quality_rules": quality_rules.op10_quality_rules,
     }
 
