@@ -37,10 +37,10 @@ from . import common
 
 CAPACITY = 2048
 #: Words that a worker remembers.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 
-#: White space beyond ASCII, a letter whose lower case depends on its place, special tokens: encoded by the library as a whole.
-_ODD = re.compile("[\x1c-\x1f\x85\xa0Σ ᠎ -​    　﻿]|<\\|")
+#: White space beyond ASCII, a letter whose lower case depends on its place: encoded by the library as a whole.
+_ODD = re.compile("[\x1c-\x1f\x85\xa0Σ ᠎ -​    　﻿]")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -50,6 +50,18 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+class _Known(dict):
+    """Words' ids; a word that is asked for first is encoded then."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, word: str) -> bytes:
+        self[word] = ids = self.encode(word)
+        return ids
+
+
 class Tokens:
     """A text's ids as little-endian unsigned 32-bit bytes. Words are looked up; the library encodes a new word once."""
 
@@ -61,33 +73,32 @@ class Tokens:
         self.model = self.tokenizer.model
         self.letters = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-        self.known: dict[str, bytes] = {}
+        self.known = _Known(self._word)
 
     @staticmethod
     def _bytes(ids) -> bytes:
         return b"".join(i.to_bytes(4, "little") for i in ids)
 
+    def _part(self, part: str) -> bytes:
+        """Ids of a piece that the vocabulary's own splitting leaves whole."""
+        mapped = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+        return self._bytes([t.id for t in self.model.tokenize(mapped)])
+
     def _word(self, word: str) -> bytes:
-        if not unicodedata.is_normalized("NFC", word):
-            return self._bytes(self.tokenizer.encode(word, add_special_tokens=False).ids)
-        ids = []
-        for part in self.split.findall(word.lower()):
-            ids += [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.letters))]
-        return self._bytes(ids)
+        """Ids of a lower-cased word in normal form C."""
+        if word.isalpha() or len(word) == 1:
+            return self._part(word)
+        core = word[:-1]
+        if core.isalpha() and word[-1] in ".,;:!?|":  # letters, then one mark: two pieces
+            return self.known[core] + self.known[word[-1]]
+        return b"".join(map(self._part, self.split.findall(word)))
 
     def __call__(self, text: str) -> bytes:
-        if _ODD.search(text):
+        if _ODD.search(text) or "<|" in text or not unicodedata.is_normalized("NFC", text):
             return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        words = (text.lower() if text.isascii() else text).split()
-        known = self.known
-        new = set(words).difference(known)
-        if new:
-            if len(known) + len(new) > CACHE_WORDS:
-                known.clear()
-                new = set(words)
-            for w in new:
-                known[w] = self._word(w)
-        return b"".join(map(known.__getitem__, words))
+        if len(self.known) > CACHE_WORDS:
+            self.known.clear()
+        return b"".join(map(self.known.__getitem__, text.lower().split()))
 
 
 def tokenizer_path() -> str:
