@@ -81,7 +81,7 @@ class Tokens:
 
     def _part(self, part: str) -> bytes:
         """Ids of a piece that the vocabulary's own splitting leaves whole."""
-        mapped = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+        mapped = part if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(self.letters)
         return self._bytes([t.id for t in self.model.tokenize(mapped)])
 
     def _word(self, word: str) -> bytes:

@@ -35,7 +35,7 @@ from . import common
 
 SPACE = "▁"
 #: Words that a worker remembers.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -60,6 +60,10 @@ class Codec:
         order = np.argsort(keys)
         self.keys, self.key_ids = keys[order], np.array(list(self.id_of.values()))[order]
         assert (self.keys[1:] != self.keys[:-1]).all()
+        # By length, which upper 16 bits the keys have: rules most substrings out before the search.
+        self.maybe = np.zeros((self.longest + 1, 1 << 16), bool)
+        for p in self.id_of:
+            self.maybe[len(p), self._hash(p) >> 48] = True
         joint = {c for p in self.id_of if len(p) > 1 for c in p} - {SPACE}
         assert not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.id_of)
         some = "".join(map(re.escape, sorted(joint)))
@@ -136,39 +140,63 @@ class Codec:
         width = np.zeros((size + 1, n), np.int64)  # the backpointer: its length
         total = np.full((size + 1, n), -np.inf)
         total[0] = 0
+        every = np.arange(n)
         for i in range(1, size + 1):
+            free = every  # words without a piece that ends here yet
             for k in range(min(i, self.longest), 0, -1):
-                sub = h[i] - h[i - k] * power[k]
-                at = np.minimum(np.searchsorted(self.keys, sub), len(self.keys) - 1)
-                piece = np.where(self.keys[at] == sub, self.key_ids[at], self.none if k == 1 else -1)
+                sub = h[i, free] - h[i - k, free] * power[k]
+                hit = np.flatnonzero(self.maybe[k, (sub >> np.uint64(48)).astype(np.int64)])
+                at = np.minimum(np.searchsorted(self.keys, sub[hit]), len(self.keys) - 1)
+                found = self.keys[at] == sub[hit]
+                hit, at = hit[found], at[found]
+                live, piece = free[hit], self.key_ids[at]
+                if k == 1:  # a character that is no piece
+                    lone = np.setdiff1d(free, live, assume_unique=True)
+                    live, piece = np.concatenate([live, lone]), np.concatenate([piece, np.full(len(lone), self.none)])
+                if not len(live):
+                    continue
                 if self.unigram:
-                    best = np.where(piece >= 0, total[i - k] + self.score[piece], -np.inf)
-                    live = np.flatnonzero(best > total[i])
-                    total[i, live] = best[live]
+                    best = total[i - k, live] + self.score[piece]
+                    more = best > total[i, live]
+                    live, piece = live[more], piece[more]
+                    total[i, live] = best[more]
                 else:
-                    live = np.flatnonzero((piece >= 0) & (width[i] == 0))
-                    if not len(live):
-                        continue
                     before = last[i - k, live]
-                    free = (before == self.none) | (piece[live] == self.none)
-                    ok = free.copy()
-                    if not free.all():
-                        ok[~free] = self._pairs_pass(before[~free], piece[live][~free])
-                    live = live[ok]
-                last[i, live], width[i, live] = piece[live], k
-        out: list[list[int]] = [[] for _ in words]
-        for w in range(n):
-            i, ids = size, []
-            while i:
-                p, k = int(last[i, w]), int(width[i, w])
-                if p == self.none:
-                    c = words[w][i - 1]
-                    ids += [self.byte_ids[b] for b in reversed(c.encode())] if self.byte_ids else [self.unknown]
-                else:
-                    ids.append(p)
-                i -= k
-            out[w] = ids[::-1]
-        return [np.array(ids, np.int32).tobytes() for ids in out]
+                    ok = (before == self.none) | (piece == self.none)
+                    ok[~ok] = self._pairs_pass(before[~ok], piece[~ok])
+                    live, piece = live[ok], piece[ok]
+                    closed = np.zeros(n, bool)
+                    closed[live] = True
+                    free = free[~closed[free]]
+                last[i, live], width[i, live] = piece, k
+                if not len(free):
+                    break
+        # All words walk their backpointers together; row r of `back` has the pieces from the r-th last on.
+        back, at = [], np.full(n, size)
+        while (at > 0).any():
+            back.append(np.where(at > 0, last[at, every], -1))
+            at = np.maximum(at - width[at, every], 0)
+        grid = np.stack(back[::-1], 1).astype(np.int32)
+        used = grid >= 0
+        flat, ends = grid[used].tobytes(), np.cumsum(used.sum(1)) * 4
+        out, lo = [], 0
+        special = (grid == self.none).any(1)
+        for w, hi in enumerate(ends.tolist()):
+            out.append(flat[lo:hi] if not special[w] else self._with_bytes(words[w], grid[w][used[w]].tolist()))
+            lo = hi
+        return out
+
+    def _with_bytes(self, word: str, ids: list[int]) -> bytes:
+        """ids in which byte pieces (or the unknown piece) take the place of characters that no piece has."""
+        out, at = [], 0
+        for p in ids:
+            if p == self.none:
+                out += [self.byte_ids[b] for b in word[at].encode()] if self.byte_ids else [self.unknown]
+                at += 1
+            else:
+                out.append(p)
+                at += len(self.text[p])
+        return np.array(out, np.int32).tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""

@@ -14,7 +14,8 @@ Rows whose crc32(doc_id as text) modulo 3 is 1 are held out: never learnt from.
 Labels, lang, source and doc_id are no inputs of a score.
 
 Defined cases: a null or empty text has no terms and gets the base score;
-a null doc_id counts as held out; of several labels for an id the greatest counts;
+a null doc_id counts as held out; of several labels for an id the greatest counts,
+and of several texts any one is learnt from;
 without labels of both kinds every score is 0; repeated rows are scored
 each; an empty table gives an empty result; other columns are never looked at.
 """
@@ -142,8 +143,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine | N
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(data, pa.binary())], ["y", "data"])
 
     # At most 2 * sample ids.
-    texts = docs.join(F.broadcast(chosen), "doc_id").select(F.col("y").cast("int").alias("y"), "text")
-    got = texts.limit(4 * sample).mapInArrow(run, "y int, data binary").collect()
+    texts = docs.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select(F.col("y").cast("int").alias("y"), "text")
+    got = texts.mapInArrow(run, "y int, data binary").collect()
     y = np.array([r["y"] for r in got], float)
     if not len(y) or not y.any() or y.all():
         return None
