@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.policy import DirectionPolicy
-from ..sources.storage import materialize
+from ..sources.storage import materialize, materialize_counted
 from .graph import Graph
 
 SCHEMA = "root long, v long, pred long, level int, degree long"
@@ -68,7 +68,7 @@ def bfs(graph: Graph, roots: list[int] | DataFrame, policy: DirectionPolicy | No
             "root", F.col("root").alias("v"), F.col("root").alias("pred"), F.lit(first_level).alias("level"), F.coalesce("degree", F.lit(0).cast("long")).alias("degree")
         )
     )
-    only = materialize(start)
+    only = frontier.select("root")  # one row for each root
     policy = policy or DirectionPolicy(graph.num_edges, graph.num_vertices)
     levels, trace, level = [frontier], [], first_level
     while max_levels is None or level - first_level < max_levels:
@@ -77,8 +77,9 @@ def bfs(graph: Graph, roots: list[int] | DataFrame, policy: DirectionPolicy | No
             found = top_down_step(graph, frontier, reduce(DataFrame.unionByName, levels[-2:]))
         else:
             found = bottom_up_step(graph, frontier, reduce(DataFrame.unionByName, levels), only)
-        frontier = materialize(found.select("root", "v", "pred", F.lit(level).alias("level"), "degree"))
-        size, degrees = frontier.agg(F.count(F.lit(1)), F.coalesce(F.sum("degree"), F.lit(0))).first()
+        found = found.select("root", "v", "pred", F.lit(level).alias("level"), "degree")
+        frontier, figures = materialize_counted(found, size=F.count(F.lit(1)), degrees=F.coalesce(F.sum("degree"), F.lit(0)))
+        size, degrees = figures["size"], figures["degrees"]
         trace.append({"level": level, "direction": direction, "size": size, "edges": degrees})
         if not size:
             break

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bits
-from ..sources.storage import materialize
+from ..sources.storage import materialize_counted
 from . import edges as E
 
 
@@ -110,12 +110,14 @@ class Graph:
 
 def build_graph(edges: DataFrame, parts: int | None = None) -> Graph:
     """Degrees with duplicates; edges without. adj is dealt by src and sorted, so that a level reads it by key."""
-    vertices = materialize(degree(edges))
+    rows = F.count(F.lit(1))
+    vertices, nodes = materialize_counted(degree(edges), n=rows)
     pairs = E.dedup(E.symmetrize(edges))
     deg = vertices.select(F.col("v").alias("dst"), F.col("degree").alias("dst_degree"))
     n = parts or int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    adj = materialize(pairs.join(deg, "dst").select("src", "dst", "dst_degree").repartition(n, "src").sortWithinPartitions("src", "dst"))
-    return Graph(edges, adj, vertices, adj.count(), vertices.count())
+    dealt = pairs.join(deg, "dst").select("src", "dst", "dst_degree").repartition(n, "src").sortWithinPartitions("src", "dst")
+    adj, arcs = materialize_counted(dealt, n=rows)
+    return Graph(edges, adj, vertices, arcs["n"], nodes["n"])
 
 
 __all__ = [n for n in dir() if not n.startswith("_")] + ["bits"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,6 +30,13 @@ def materialize(df: DataFrame) -> DataFrame:
     return out
 
 
+def materialize_counted(df: DataFrame, **figures: Column) -> tuple[DataFrame, dict]:
+    """materialize(), and aggregates of df's rows that are made while they are written, so no second job reads the table."""
+    seen = Observation()
+    out = materialize(df.observe(seen, *[c.alias(name) for name, c in figures.items()]))
+    return out, seen.get
+
+
 def discard(df: DataFrame | None) -> None:
     """Delete a table made by materialize() that nothing reads any more."""
     path = getattr(df, "_graphloom_path", None)
