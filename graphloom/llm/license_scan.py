@@ -2,12 +2,17 @@
 
 The index holds, for each word of a template, the templates and positions at
 which it stands (its postings). A first pass counts in how many documents each
-template word occurs. A document's ``RARE`` template words with the highest IDF
-are looked up; each place of such a word, less the position of its posting,
+template word occurs. Of each template, its words in the document with the
+highest IDF are looked up, ``RARE`` or more; each place of such a word, less the position of its posting,
 gives a template and a start. Places that agree on both intersect there, and a
 start is verified against the document's words: every key word of the
 template must stand in its place and ``ACCEPT`` of all words must match.
 
+No start that would be accepted is missed, however many licences a document
+carries: such a start lacks at most 1 - ACCEPT of the template's words, and the
+words looked up are at least ``VOTES`` more than that. Where fewer are present,
+all are looked up, and the key words alone give the votes.
+
 Fixed phrases (BASE) are found exactly, wherever they stand.
 
 Defined cases: a null text counts as empty (no words, no labels, score 0);
@@ -17,6 +22,8 @@ IDF are broken by the word; other columns are never looked at.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,6 +81,11 @@ class Index:
             pairs += [F.lit(w), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(i).alias("i")) for t, i in at])]
         return F.create_map(*pairs)
 
+    def rarest(self, ranked: list[str]) -> list[tuple[list[str], int]]:
+        """Of each template, its index words in the order of ranked, and how many of those in a document to look up."""
+        lacking = [len(words) - math.ceil(ACCEPT * len(words)) for words in self.words]
+        return [([w for w in ranked if w in words], max(RARE, n + VOTES)) for words, n in zip(self.words, lacking)]
+
     def words_array(self) -> Column:
         return F.array(*[common.strings(w) for w in self.words])
 
@@ -117,13 +129,18 @@ def scan(df: DataFrame, text_col: str = "text", templates=TEMPLATES) -> DataFram
 
     # Places of the fixed phrases, looked for only where all words of one occur.
     found = F.array_intersect(words, common.strings(sorted({w for p in BASE for w in p.split()})))
-    out = worded.withColumns({"_found": found, "_rare": F.slice(F.array_intersect(common.strings(ranked), words), 1, RARE)})
+    out = worded.withColumns({"_found": found, "_present": F.array_intersect(common.strings(ranked), words)})
+    rare = F.array_distinct(
+        F.flatten(F.array(*[F.slice(F.array_intersect(common.strings(of), F.col("_present")), 1, n) for of, n in index.rarest(ranked)]))
+    )
+    # Few words in all: the templates' parts of them are all of them.
+    out = out.withColumn("_rare", F.when(F.size("_present") <= RARE, F.col("_present")).otherwise(rare))
     places = {}
     for k, phrase in enumerate(BASE):
         p = phrase.split()
         every = F.size(F.array_intersect("_found", common.strings(sorted(set(p))))) == len(set(p))
         places[f"_base{k}"] = F.when(every, _starts(words, p)).otherwise(none)
-    # Candidates: template and start, from the places of the document's rarest licence words.
+    # Candidates: template and start, from the places of each template's rarest words.
     occ = F.filter(
         F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))),
         lambda x: F.array_contains(F.col("_rare"), x["w"]),

@@ -131,6 +131,17 @@ def test_license(spark, monkeypatch):
     assert by[None].n_words == 0 and by[10].n_words == len(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", TEXTS[10].lower()))
 
 
+def test_license_finds_all_of_several(spark):
+    plain = [(label, text.lower()) for label, text in license_scan.TEMPLATES]
+    several = [(a, b) for i, a in enumerate(plain) for b in plain[:i] if a[0] != b[0]] + [tuple(plain)]
+    filler = "some words of the user that tell of free software and its general terms of use "
+    rows = [(k, filler.join(f"{text}.\n" for _, text in parts) + filler) for k, parts in enumerate(several)]
+    got = {r.doc_id: set(r.labels.split(",")) for r in license_scan.scan(docs(spark, rows)).collect()}
+    assert len(several) == 118
+    assert all({label for label, _ in parts} <= got[k] for k, parts in enumerate(several))
+    assert len(got[117]) == 13
+
+
 def test_secrets(spark, monkeypatch):
     rows = {r.doc_id: r for r in run(secret_scan.op3_secret_scan, docs(spark), monkeypatch)}
     t, r = TEXTS[8], rows[8]
