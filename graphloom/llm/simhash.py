@@ -21,6 +21,10 @@ not all pairs; node pairs whose leaves already belong to one group are dropped
 from the walk. The spanning links of all cells are contracted by alternating
 large-star and small-star steps on the cluster.
 
+The pipeline's stage has another rule: texts whose sets of five-word shingles
+have a Jaccard index of 0.8 or more. Its pairs are found by a prefix join and
+each is verified on the whole sets (of 64-bit hashes).
+
 Defined cases: null and empty texts have fingerprint zero and link like any
 other; copies and repeated rows share a fingerprint and so a group; a null
 doc_id never names a group unless all of its ids are null; an empty table gives
@@ -39,6 +43,8 @@ from pyspark.sql import functions as F
 from . import common
 
 SHINGLE, SEED, ERRORS = 4, 42, 4
+#: Words of a shingle of the pipeline's stage, and followers that a set is paired with for each hash.
+WORDS, NEAR = 5, 24
 #: Width of the blocks, from the highest bit down.
 BLOCKS = (13, 13, 13, 13, 12)
 CELL_ROWS = 1_000_000
@@ -292,12 +298,9 @@ def star_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         seen = tuple(state)
 
 
-def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp and component_id (the least doc_id that links reach) of each row."""
-    parts = common.partitions(df.sparkSession)
-    rows = common.materialize(fingerprints(df, id_col, text_col))
-    least = common.materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = star_components(links(least.select("fp"), parts))
+def _named(rows: DataFrame, least: DataFrame, edges: DataFrame) -> DataFrame:
+    """doc_id, fp and component_id of each of rows(doc_id, fp); least: the least doc_id of each fp; edges: links a, b of fps."""
+    roots = star_components(edges)
     # Only fingerprints with links can have a smaller id elsewhere.
     linked = least.join(roots, least["fp"] == roots["member"], "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root")
@@ -307,6 +310,129 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return rows.join(names, "fp").select("doc_id", "fp", "component_id")
 
 
+def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fp and component_id (the least doc_id that links reach) of each row."""
+    parts = common.partitions(df.sparkSession)
+    rows = common.materialize(fingerprints(df, id_col, text_col))
+    least = common.materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    return _named(rows, least, links(least.select("fp"), parts))
+
+
+# Groups of texts with like 5-word shingles
+
+
+class _WordHashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        from xxhash import xxh64_intdigest
+
+        if len(self) > 500_000:
+            self.clear()
+        self[word] = h = xxh64_intdigest(word, SEED)
+        return h
+
+
+def grams(text: str | None, hashed: dict | None = None) -> np.ndarray:
+    """The different 5-word shingles of a text as sorted 64-bit hashes; a shorter text is one shingle, an empty one has none."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return np.array([], np.int64)
+    hashed = _WordHashes() if hashed is None else hashed
+    h = np.fromiter(map(hashed.__getitem__, words), np.uint64, len(words))
+    width = min(WORDS, len(h))
+    n = len(h) - width + 1
+    with np.errstate(over="ignore"):
+        out = np.full(n, width, np.uint64)
+        for k in range(width):
+            out = (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + h[k : k + n]
+        out = (out ^ (out >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+        out ^= out >> np.uint64(31)
+    return np.unique(out.view(np.int64))
+
+
+def gram_sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fp (hash of the whole set) and grams of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        hashed = _WordHashes()
+        for b in batches:
+            sets = [grams(t, hashed) for t in b.column(1).to_pylist()]
+            fps = [_signed(xxh64_intdigest(g.tobytes(), SEED)) for g in sets]
+            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets) if sets else np.array([], np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), lists], ["doc_id", "fp", "grams"])
+
+    rows = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text"))
+    return rows.mapInArrow(run, "doc_id long, fp long, grams array<long>")
+
+
+def prefix_pairs(sets: DataFrame, parts: int, near: int = NEAR) -> DataFrame:
+    """a, b: pairs of different sets that may have a Jaccard index of 0.8.
+
+    Such a pair shares one of the least n - ceil(0.8 n) + 1 hashes of either
+    side. Rows with one hash are sorted by size, and each is paired with its
+    ``near`` followers and with the first. So a hash of up to near + 1 sets
+    gives all of their pairs, and one of many gives pairs in proportion.
+    """
+    size = F.size("grams")
+    # ceil(4 n / 5) in whole numbers.
+    keep = size - F.expr("(4 * size(grams) + 4) div 5").cast("int") + 1
+    rows = sets.where(size > 0).select("fp", size.alias("n"), F.explode(F.slice("grams", F.lit(1), keep)).alias("h"))
+    dealt = rows.repartition(parts, "h").sortWithinPartitions("h", "n", "fp").select("h", "n", "fp")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tail = np.zeros((0, 5), np.int64)  # the last rows: h, n, fp, and n and fp of the first of their hash
+        for b in batches:
+            new = np.stack([c.to_numpy() for c in b.columns], 1).astype(np.int64)
+            before = tail[-1:, :3] if len(tail) else new[:1, :3] + 1
+            new = new[(new != np.concatenate([before, new[:-1]])).any(axis=1)]  # copies
+            if not len(new):
+                continue
+            started = np.append(len(tail) == 0 or tail[-1, 0] != new[0, 0], new[1:, 0] != new[:-1, 0])
+            at = np.maximum.accumulate(np.where(started, np.arange(len(new)), -1))
+            first = np.where((at >= 0)[:, None], new[np.maximum(at, 0), 1:3], tail[-1:, 3:5] if len(tail) else 0)
+            x = np.concatenate([tail, np.concatenate([new, first], 1)])
+            old, found = len(tail), []
+            for d in range(1, min(near, len(x) - 1) + 1):
+                j = np.arange(max(old, d), len(x))
+                i = j - d
+                ok = (x[i, 0] == x[j, 0]) & (5 * x[i, 1] >= 4 * x[j, 1])
+                if not (x[i, 0] == x[j, 0]).any():
+                    break
+                found.append(np.stack([x[i[ok], 2], x[j[ok], 2]], 1))
+            y = x[old:]
+            ok = 5 * y[:, 3] >= 4 * y[:, 1]
+            found.append(y[ok][:, [4, 2]])
+            pairs = np.concatenate(found)
+            pairs = np.unique(np.sort(pairs[pairs[:, 0] != pairs[:, 1]], axis=1), axis=0)
+            if len(pairs):
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+            tail = x[-near:]
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def near_links(sets: DataFrame, parts: int) -> DataFrame:
+    """a, b: pairs of sets(fp, grams) that are found by prefix_pairs and have a Jaccard index of at least 0.8, exactly."""
+    pairs = common.materialize(prefix_pairs(sets, parts))
+    need = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    held = common.materialize(sets.join(need, "fp", "left_semi").groupBy("fp").agg(F.first("grams").alias("grams")))
+    both = pairs.join(held.select(F.col("fp").alias("a"), F.col("grams").alias("x")), "a")
+    both = both.join(held.select(F.col("fp").alias("b"), F.col("grams").alias("y")), "b")
+    both = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("shared"), (F.size("x") + F.size("y")).alias("sizes"))
+    return both.where("5 * shared >= 4 * (sizes - shared)").select("a", "b")
+
+
+def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fp (of the set of shingles) and component_id (the least doc_id that near_links reach) of each row."""
+    parts = common.partitions(df.sparkSession)
+    sets = common.materialize(gram_sets(df, id_col, text_col))
+    rows = sets.select("doc_id", "fp")
+    least = common.materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    return _named(rows, least, near_links(sets.select("fp", "grams"), parts))
+
+
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = groups(common.documents(spark, sf_dir).select("doc_id", "text"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -315,10 +441,12 @@ def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def filter_stage(docs: DataFrame) -> DataFrame:
     """docs with one document of each group: the one with the smallest doc_id, in the same columns.
 
+    Groups are those of near_groups: five-word shingles, Jaccard index 0.8.
+
     If doc_id has repeats, one of the rows with that id stays; of the rows without
     an id, one stays if no linked row has one.
     """
-    found = common.materialize(groups(docs.select("doc_id", "text")))
+    found = common.materialize(near_groups(docs.select("doc_id", "text")))
     keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     rows, ids = keep.agg(F.count(F.lit(1)), F.count_distinct(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).first()
     ids_kept = keep.select(F.col("doc_id").alias("kept_id")).distinct() if rows > ids else keep.select(F.col("doc_id").alias("kept_id"))

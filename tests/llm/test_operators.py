@@ -258,6 +258,32 @@ def test_dedup_keeps_one(spark):
     assert len(out) == len(set(out)) and 4 in out and 5 not in out
 
 
+def plain_grams(t):
+    w = (t or "").encode().lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def plain_near(rows):
+    sets = [plain_grams(t) for _, t in rows]
+    like = lambda a, b: 5 * len(a & b) >= 4 * len(a | b)
+    comp = groups_of(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if like(sets[i], sets[j])])
+    return {i for k, (i, _) in enumerate(rows) if comp[k] == k}
+
+
+def test_dedup_stage_links_by_five_words(spark):
+    rows = []
+    for k in range(25):
+        words = [f"w{rnd.randrange(3000)}" for _ in range(rnd.randrange(60, 300))]
+        rows.append((len(rows), " ".join(words)))
+        for changed in (0.005, 0.01, 0.02, 0.03, 0.05):
+            rows.append((len(rows), " ".join(f"n{rnd.randrange(3000)}" if rnd.random() < changed else w for w in words)))
+    line = " ".join(f"c{k}" for k in range(30))
+    rows += [(len(rows) + k, line + " " + " ".join(f"v{rnd.randrange(3000)}" for _ in range(40))) for k in range(60)]
+    got = [r.doc_id for r in simhash.filter_stage(docs(spark, rows)).collect()]
+    want = plain_near(rows)
+    assert sorted(got) == sorted(want) and 85 < len(want) < len(rows)
+
+
 PLAIN = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
