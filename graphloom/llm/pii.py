@@ -2,7 +2,8 @@
 
 Generators with high recall propose candidate spans: the fixed patterns of the
 four kinds (email, ip, card, phone), before their checks, and looser forms of
-e-mail addresses and telephone numbers. Boosted trees score a candidate by
+e-mail addresses and telephone numbers, and the parts of matches that fail their
+checks (such a match may have swallowed neighbouring digits); these overlap. Boosted trees score a candidate by
 its format (digits, separators, plus sign, brackets, checksum, parts) and its
 context (a telling word before it, letters or digits around it). The fixed
 patterns' checks are the training labels. Features are small whole
@@ -10,7 +11,8 @@ numbers, so all candidates of the corpus are counted by feature cell, at
 most a few thousand cells, and the trees are fitted to the cells' counts; the trees
 become one column expression. Each family's threshold is calibrated: it is the
 lowest score from which on the share of true candidates is ``PRECISION``
-or more. Loose candidates above it that touch no fixed span are added.
+or more. Loose candidates above it that touch no fixed span are added, the best
+of those that overlap.
 
 Positions come from splitting a text at its matches: pieces between and of
 matches alternate, and sums of their lengths (code points) are the places. The
@@ -57,6 +59,12 @@ LOOSE = {
     "email_like": ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63} ?[\[(] ?(?:at|AT) ?[\])] ?[A-Za-z0-9-]+(?:(?:\.| ?[\[(] ?(?:dot|DOT) ?[\])] ?)[A-Za-z0-9-]+)+", r"[\[(] ?(?:at|AT) ?[\])]"),
     "phone_like": ("phone", r"(?<![0-9A-Za-z+.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z.-])", r"[0-9]{3}[ .-][0-9]{4}"),
 }
+#: Parts of fixed matches that fail their check: a match may have swallowed its neighbours' digits.
+PARTS = {"card": "card_like", "ip": "ip_like", "phone": "phone_like"}
+#: Runs of more numbers than an address has; the fixed pattern takes four at a time.
+CHAIN = (r"(?<![0-9])[0-9]++(?:\.[0-9]++){4,}+", r"[0-9](?:\.[0-9]+){4}")
+#: Code points of a part, least and most.
+PART_SIZE = {"card": (12, 37), "ip": (7, 15), "phone": (9, 40)}
 FAMILIES = KINDS
 
 # Words that announce personal data.
@@ -141,6 +149,44 @@ def _valid(s: Column) -> Column:
     )
 
 
+def _parts(s: Column, kind: str) -> Column:
+    """Spans inside the match s that begin and end where its numbers do: overlapping candidates."""
+    low, high = PART_SIZE[kind]
+    v, n = s["value"], F.length(s["value"])
+    digit = lambda i: F.substring(v, i, F.lit(1)).rlike("[0-9]")
+    begins = lambda i: F.substring(v, i, F.lit(1)) == "+" if kind == "phone" else digit(i) & ((i == 1) | ~digit(i - 1))
+
+    def part(i, j):
+        return F.struct(
+            F.lit(PARTS[kind]).alias("kind"), (s["start"] + i - 1).alias("start"), (s["start"] + j).alias("stop"),
+            F.substring(v, i, j - i + 1).alias("value"),
+            F.right(F.concat(s["before"], F.substring(v, F.lit(1), i - 1)), F.lit(24)).alias("before"),
+            F.when(j < n, F.substring(v, j + 1, F.lit(1))).otherwise(s["after"]).alias("after"),
+        )
+
+    def of(i):
+        ends = F.sequence(F.least(i + (low - 1), n + 1), F.least(i + (high - 1), n))
+        ends = F.when(i + (low - 1) <= n, ends).otherwise(F.array().cast("array<int>"))
+        return F.transform(F.filter(ends, lambda j: digit(j) & ((j == n) | ~digit(j + 1))), lambda j: part(i, j))
+
+    found = F.flatten(F.transform(F.filter(F.sequence(F.lit(1), n), begins), of))
+    fits = {
+        "card": lambda p: F.length(_digits(p["value"])).between(12, 19),
+        "ip": lambda p: p["value"].rlike(r"^[0-9]+(?:\.[0-9]+){3}$"),
+        "phone": lambda p: F.length(_digits(p["value"])).between(9, 15),
+    }
+    return F.filter(found, fits[kind])
+
+
+def _all_parts(spans: Column, chains: Column) -> Column:
+    none = F.array().cast(SPANS)
+    failed = lambda kind: F.filter(spans, lambda s: (s["kind"] == kind) & (F.length(s["value"]) > PART_SIZE[kind][0]) & ~_valid(s))
+    within = lambda a, kind: F.flatten(F.transform(a, lambda s: _parts(s, kind)))
+    every = [within(failed(k), k) for k in ("card", "phone")]
+    every.append(within(chains, "ip"))
+    return F.concat(*[F.coalesce(x, none) for x in every])
+
+
 def _features(s: Column) -> Column:
     """Small whole numbers that describe a candidate."""
     v = s["value"]
@@ -162,7 +208,7 @@ def _features(s: Column) -> Column:
 
 
 def _family() -> dict[str, str]:
-    return {k: k for k in KINDS} | {k: f for k, (f, _, _) in LOOSE.items()}
+    return {k: k for k in KINDS} | {k: f for k, (f, _, _) in LOOSE.items()} | {v: k for k, v in PARTS.items()}
 
 
 def candidates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -171,7 +217,8 @@ def candidates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = df.select(df[id_col].cast("long").alias("doc_id"), text.alias("t"))
     t = F.col("t")
     every = [_matches(t, k, PATTERNS[k], HINTS[k]) for k in KINDS] + [_matches(t, k, p, h) for k, (_, p, h) in LOOSE.items()]
-    rows = rows.select("doc_id", F.concat(*every).alias("spans"))
+    rows = rows.select("doc_id", F.concat(*every).alias("spans"), _matches(t, "ip", *CHAIN).alias("chains"))
+    rows = rows.select("doc_id", F.concat("spans", _all_parts(F.col("spans"), F.col("chains"))).alias("spans"))
     return rows.select(
         "doc_id",
         F.transform(
@@ -262,7 +309,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     table = common.materialize(candidates(df, id_col, text_col))
     fitted = fit(table)
     thin = lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"))
-    order = {k: i for i, k in enumerate([*KINDS, *LOOSE])}
+    order = {k: i for i, k in enumerate([*KINDS, *LOOSE, "card_like", "ip_like"])}
     rank = lambda s: F.coalesce(*[F.when(s["kind"] == k, F.lit(i)) for k, i in order.items()])
     in_order = lambda a: F.transform(
         F.array_sort(F.transform(a, lambda s: F.struct(s["start"].alias("start"), rank(s).alias("rank"), s["stop"].alias("stop"), s["kind"].alias("kind")))), thin
@@ -274,11 +321,25 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
         model, least = fitted
 
         def passes(s):
-            limit = F.coalesce(*[F.when(s["kind"] == k, F.lit(least.get(f, math.inf))) for k, (f, _, _) in LOOSE.items()])
+            limit = F.coalesce(*[F.when(s["kind"] == k, F.lit(least.get(f, math.inf))) for k, f in _family().items()])
             apart = F.forall("base", lambda b: (b["stop"] <= s["start"]) | (b["start"] >= s["stop"]))
-            return ~s["fixed"] & apart & (model.column(s["x"]) >= limit)
+            return ~s["fixed"] & apart & (s["score"] >= limit)
 
-        loose = F.transform(F.filter("cands", passes), thin)
+        scored = F.transform(
+            F.filter("cands", lambda s: ~s["fixed"]),
+            lambda s: F.struct(
+                (-model.column(s["x"])).alias("cost"), (s["start"] - s["stop"]).alias("less"), s["start"].alias("start"), s["stop"].alias("stop"),
+                s["kind"].alias("kind"), s["fixed"].alias("fixed"), model.column(s["x"]).alias("score"),
+            ),
+        )
+        # The best first, of equal ones the longest; each is taken if it touches none taken before.
+        loose = F.aggregate(
+            F.transform(F.array_sort(F.filter(scored, passes)), thin),
+            loose,
+            lambda taken, s: F.when(
+                F.forall(taken, lambda o: (o["stop"] <= s["start"]) | (o["start"] >= s["stop"])), F.array_append(taken, s)
+            ).otherwise(taken),
+        )
     return out.select("doc_id", in_order(F.col("base")).alias("spans"), in_order(F.concat(F.transform("base", thin), loose)).alias("every"))
 
 

@@ -314,6 +314,18 @@ def test_pii(spark, monkeypatch):
         assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, k, b in spans).encode()).hexdigest()
 
 
+def test_pii_finds_parts_of_failed_matches(spark, monkeypatch):
+    shape = lambda i, ok: f"card 4111 1111 1111 {1111 if ok else 1112}, ip 10.0.{i % 9}.{7 if ok else 777}, phone +49 89 1234567{'' if ok else ' 1234 5678 90'} end"
+    rows = [(i, shape(i, i % 2)) for i in range(80)]
+    two, chain, phone = "pay 7536784127813050 4845168114407329 now", "ip 300.10.0.0.1 up", "phone +49 89 1234561 2024 1234 99 end"
+    rows += [(100, two), (101, chain), (102, phone)]
+    got = {r.doc_id: r.spans.split(",") for r in run(pii.op7_pii, docs(spark, rows), monkeypatch)}
+    at = lambda kind, text, part: f"{kind}:{text.index(part)}:{text.index(part) + len(part)}"
+    assert at("card_like", two, "7536784127813050") in got[100] and at("card_like", two, "4845168114407329") in got[100]
+    assert at("ip_like", chain, "10.0.0.1") in got[101]
+    assert any(s.startswith(f"phone_like:{phone.index('+')}:") for s in got[102])
+
+
 def test_sentencepiece(spark, monkeypatch):
     import sentencepiece
 
