@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-GRAM, WINDOW = 24, 40
+GRAM, WINDOW = 12, 8
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _POWER = [pow(_BASE, k, 1 << 64) for k in range(GRAM + 1)]
@@ -190,7 +190,7 @@ def fingerprints_with_edits(df: DataFrame, id_col: str = "doc_id", text_col: str
                     size += len(text)
                 # Of a range's ghosts the first one counts.
                 held = None if ghost else (at, ghost, doc, text, kept)
-                if size > 4_000_000:
+                if size > 1_000_000:
                     yield flush()
                     out, size = [], 0
         if out:

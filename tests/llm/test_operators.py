@@ -198,6 +198,15 @@ def test_winnowing_guarantee():
     assert keys == want
 
 
+def test_winnowing_of_short_texts():
+    some = lambda n: "".join(rnd.choice("abcdefghijklmnop") for _ in range(n))
+    like = lambda x, y: winnowing.likeness(winnowing.hashes(winnowing.winnow(x)), winnowing.hashes(winnowing.winnow(y)))
+    for _ in range(50):
+        text, following, passage = some(60), some(60), some(23)
+        assert like(text, winnowing.edited(text, following)) > 0
+        assert like(some(20) + passage + some(17), some(9) + passage + some(28)) > 0
+
+
 def plain_fingerprint(t):
     w = re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower())
     g = [b" ".join(w[i : i + 4]) for i in range(len(w) - 3)] or ([b" ".join(w)] if w else [])
