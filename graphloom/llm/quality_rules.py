@@ -21,10 +21,6 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Bits of a packed window that hold its place; longer texts take the plain path.
-PLACE_BITS = 24
-PLACE_MASK = (1 << PLACE_BITS) - 1
-
 TOLERANCE, BAN = 0.05, 0.9
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
@@ -36,32 +32,28 @@ def _covered(places: Column) -> Column:
     return F.aggregate(steps, F.lit(0).cast("long"), lambda acc, x: acc + x)
 
 
-def _repeated_words(windows: Column) -> Column:
-    """windows: 64-bit hashes of the 3-word windows in text order.
+def _repeated_words(words: Column, windows: Column, mask: Column) -> Column:
+    """windows: 64-bit hashes of the 3-word windows of words, in text order; mask: ones in as many bits as their number takes.
 
-    Hash and place are packed in one long, so that a primitive sort brings equal
-    windows together; neighbours are then compared by their full hashes.
+    The upper bits of a hash and, in as many lower bits as the text needs, its
+    place are packed in one long. A primitive sort brings equal windows
+    together, so those that agree with a neighbour in the upper bits are all that can repeat.
+    They alone are sorted by their whole hashes and words, where neighbours are equal or differ.
     """
-    packed = F.sort_array(
-        F.transform(windows, lambda h, i: h.bitwiseAND(F.lit(~PLACE_MASK)).bitwiseOR(i.cast("long")))
-    )
-    place = lambda p: p.bitwiseAND(F.lit(PLACE_MASK)).cast("int")
-    full = lambda p: F.get(windows, place(p))
-    again = common.let(
-        packed,
-        lambda x: F.filter(
-            x, lambda p, k: (full(p) == full(F.get(x, k + 1))) | (full(p) == full(F.get(x, k - 1)))
-        ),
+    packed = F.sort_array(F.transform(windows, lambda h, i: h.bitwiseAND(F.bitwise_not(mask)).bitwiseOR(i.cast("long"))))
+    upper = lambda p: p.bitwiseOR(mask)
+    close = common.let(
+        packed, lambda x: F.filter(x, lambda p, k: (upper(p) == upper(F.get(x, k + 1))) | (upper(p) == upper(F.get(x, k - 1))))
     )
-    return common.let(F.sort_array(F.transform(again, lambda p: place(p).cast("long"))), _covered)
 
+    def window(p):
+        i = p.bitwiseAND(mask).cast("int")
+        word = lambda k: F.get(words, i + k)
+        return F.struct(F.struct(F.get(windows, i).alias("h"), word(0).alias("a"), word(1).alias("b"), word(2).alias("c")).alias("w"), i.cast("long").alias("i"))
 
-def _repeated_words_long(windows: Column) -> Column:
-    """The same for texts with more windows than PLACE_BITS can number."""
-    pairs = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.cast("long").alias("i"))))
     again = common.let(
-        pairs,
-        lambda x: F.filter(x, lambda p, k: (p["h"] == F.get(x, k + 1)["h"]) | (p["h"] == F.get(x, k - 1)["h"])),
+        F.sort_array(F.transform(close, window)),
+        lambda x: F.filter(x, lambda p, k: (p["w"] == F.get(x, k + 1)["w"]) | (p["w"] == F.get(x, k - 1)["w"])),
     )
     return common.let(F.sort_array(F.transform(again, lambda p: p["i"])), _covered)
 
@@ -93,11 +85,11 @@ def measure(df: DataFrame, text_col: str = "text") -> DataFrame:
                 F.greatest(F.size("_words") - 2, F.lit(0)),
             ),
         ).alias("_windows"),
+        "_words",
+        (F.call_function("shiftleft", F.lit(1).cast("long"), F.length(F.bin(F.size("_words").cast("long")))) - 1).alias("_mask"),
     )
     many = F.size("_windows") > F.size(F.array_distinct("_windows"))
-    repeated = F.when(many & (F.size("_windows") <= PLACE_MASK), _repeated_words(F.col("_windows"))).when(
-        many, _repeated_words_long(F.col("_windows"))
-    )
+    repeated = F.when(many, _repeated_words(F.col("_words"), F.col("_windows"), F.col("_mask")))
     counts = F.struct(
         "n_words", "word_chars", "n_symbols", "n_dup_lines",
         F.coalesce(repeated, F.lit(0).cast("long")).alias("n_repeat_words"), "n_lines",
@@ -163,14 +155,15 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def filter_stage(docs: DataFrame) -> DataFrame:
     """docs without the rejected ones, in the same columns.
 
-    Texts are measured twice, once for the hosts and once for the verdicts,
-    instead of writing all texts once more.
+    Texts are measured once: rows that pass the base rules are written with their
+    counts, of the others only the host, and the verdicts are joined to that table.
+    A table without rows gives none; a null text or host is handled as above.
     """
-    clean = docs.select("text", "source")
-    rates = common.materialize(host_rates(measure(clean)))
     names = docs.columns
     wide = docs.select(F.struct(*[docs[c] for c in names]).alias("doc"), docs["text"].alias("text"), docs["source"].alias("source"))
-    kept = verdicts(measure(wide), rates).where("kept")
+    measured = measure(wide).drop("text").withColumn("doc", F.when(~base_failed(), F.col("doc")))
+    measured = common.materialize(measured)
+    kept = verdicts(measured, host_rates(measured)).where("kept")
     return kept.select(*[F.col("doc")[c].alias(c) for c in names])
 
 
