@@ -146,15 +146,17 @@ def features(text: str, n: int, values: list[float]) -> np.ndarray:
 
 
 def fit_linear(x: np.ndarray, y: np.ndarray, rounds: int = 300, rate: float = 0.5, decay: float = 1e-4) -> np.ndarray:
-    """Weights (the last one is the bias) of a logistic scorer for soft labels y."""
+    """Weights (the last one is the bias) of a logistic scorer for soft labels y; all of x's precision, so that no product copies x."""
     x = np.concatenate([x, np.ones((len(x), 1), x.dtype)], 1)
-    w, m, s = (np.zeros(x.shape[1], np.float64) for _ in range(3))
+    y = y.astype(x.dtype)
+    w, m, s = (np.zeros(x.shape[1], x.dtype) for _ in range(3))
     for k in range(1, rounds + 1):
         p = 1 / (1 + np.exp(-(x @ w)))
-        g = x.T @ (p - y) / max(1, len(y)) + decay * w
-        m, s = 0.9 * m + 0.1 * g, 0.999 * s + 0.001 * g * g
-        w -= rate / np.sqrt(k) * 0.2 * (m / (1 - 0.9**k)) / (np.sqrt(s / (1 - 0.999**k)) + 1e-8)
-    return w
+        g = x.T @ ((p - y) / x.dtype.type(max(1, len(y)))) + x.dtype.type(decay) * w
+        m, s = x.dtype.type(0.9) * m + x.dtype.type(0.1) * g, x.dtype.type(0.999) * s + x.dtype.type(0.001) * g * g
+        step = x.dtype.type(rate / np.sqrt(k) * 0.2 / (1 - 0.9**k))
+        w -= step * m / (np.sqrt(s / x.dtype.type(1 - 0.999**k)) + x.dtype.type(1e-8))
+    return w.astype(np.float64)
 
 
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> tuple[np.ndarray, float] | None:
@@ -182,7 +184,9 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: i
             yield pa.RecordBatch.from_arrays([pa.array(data, pa.binary()), pa.array(post)], ["x", "y"])
 
     chosen = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < F.lit(int(min(1.0, sample / total) * (1 << 30)))
-    got = rows.where(chosen).limit(2 * sample).mapInArrow(vector, "x binary, y double").collect()
+    # The limit bounds repeated rows, which share a hash; its few rows are dealt out again for their features.
+    drawn = rows.where(chosen).limit(2 * sample).repartition(common.partitions(df.sparkSession))
+    got = drawn.mapInArrow(vector, "x binary, y double").collect()
     if not got:
         return None
     x = np.stack([np.frombuffer(r["x"], np.float16) for r in got]).astype(np.float32)
@@ -215,9 +219,13 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, fit(docs)).withColumn("kept", F.col("score") >= KEEP)
 
 
-def filter_stage(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """docs without those that score below KEEP, in the same columns."""
-    fitted = fit(docs.select("doc_id", "text"), sample=sample)
+def filter_stage(docs: DataFrame, sample: int = SAMPLE, corpus: DataFrame | None = None) -> DataFrame:
+    """docs without those that score below KEEP, in the same columns.
+
+    The scorer is fitted to corpus (columns doc_id and text), or docs if there is none: where other stages have
+    taken the bad documents out, what they were like is only to be seen in the rows before them.
+    """
+    fitted = fit((docs if corpus is None else corpus).select("doc_id", "text"), sample=sample)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
