@@ -43,6 +43,11 @@ CACHE_WORDS = 1_000_000
 _ODD = re.compile("[\x1c-\x1f\x85\xa0Σ ᠎ -​    　﻿]")
 
 
+# Ranges of characters whose class, lower case and normal form no edition of Unicode has changed for long. The library's
+# tables may be newer or older than Python's; a word with any other character is encoded by the library.
+_SETTLED = re.compile(r"[!-~\u00a1-\u024f\u0391-\u03a1\u03a4-\u03a9\u03b1-\u03c9\u0400-\u0481\u048a-\u04ff\u2010-\u2027\u2030-\u205e\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]+")
+
+
 def _byte_letters() -> dict[int, str]:
     """The printable character that stands for each byte in a byte-level vocabulary."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -85,20 +90,25 @@ class Tokens:
         return self._bytes([t.id for t in self.model.tokenize(mapped)])
 
     def _word(self, word: str) -> bytes:
-        """Ids of a lower-cased word in normal form C."""
-        if word.isalpha() or len(word) == 1:
-            return self._part(word)
-        core = word[:-1]
-        if core.isalpha() and word[-1] in ".,;:!?|":  # letters, then one mark: two pieces
-            return self.known[core] + self.known[word[-1]]
-        return b"".join(map(self._part, self.split.findall(word)))
+        """Ids of a word in normal form C."""
+        if not _SETTLED.fullmatch(word):
+            return self._bytes(self.tokenizer.encode(word, add_special_tokens=False).ids)
+        low = word.lower()
+        if low != word and _SETTLED.fullmatch(low):
+            return self.known[low]
+        if low.isalpha() or len(low) == 1:
+            return self._part(low)
+        core = low[:-1]
+        if core.isalpha() and low[-1] in ".,;:!?|":  # letters, then one mark: two pieces
+            return self.known[core] + self.known[low[-1]]
+        return b"".join(map(self._part, self.split.findall(low)))
 
     def __call__(self, text: str) -> bytes:
         if _ODD.search(text) or "<|" in text or not unicodedata.is_normalized("NFC", text):
             return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
-        return b"".join(map(self.known.__getitem__, text.lower().split()))
+        return b"".join(map(self.known.__getitem__, text.split()))
 
 
 def tokenizer_path() -> str:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -422,3 +423,25 @@ def test_pipeline(spark):
         docs_, before = after, after.count()
     packed = corpus_pipeline.run(spark, SF)
     assert {r.doc_id for r in packed.select("doc_id").collect()} == {r.doc_id for r in docs_.select("doc_id").collect()}
+
+
+def test_ids_equal_the_library_for_all_code_points():
+    from tokenizers import Tokenizer
+
+    tokens, library = packing.Tokens(packing.tokenizer_path()), Tokenizer.from_file(packing.tokenizer_path())
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    # Of characters without a class in Python's tables, and of private ones, every 7th; they all take the library's way.
+    points = [c for c in points if packing._SETTLED.fullmatch(c) or unicodedata.category(c) not in ("Cn", "Co") or ord(c) % 7 == 0]
+    for lo in range(0, len(points), 512):
+        text = " ".join(f"a{c}b {c} X{c}{c}. 1{c}2" if packing._SETTLED.fullmatch(c) else f"a{c}1" for c in points[lo : lo + 512])
+        assert tokens(text) == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), hex(lo)
+
+
+def test_ids_equal_the_library_on_random_texts():
+    from tokenizers import Tokenizer
+
+    tokens, library = packing.Tokens(packing.tokenizer_path()), Tokenizer.from_file(packing.tokenizer_path())
+    some = list("aAzZ09'sS'.,!?-_ \t\n éÉßſİıΣσςЖж日本のｶ한🙂́̈‍<|>") + ["\U000105d2̇", "Ᲊ", "'ll ", "'RE", "  "]
+    for _ in range(3000):
+        text = "".join(rnd.choices(some, k=rnd.randrange(1, 30)))
+        assert tokens(text) == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
