@@ -9,13 +9,15 @@ place (in code points of the text). The likeness of two fingerprints is the
 Jaccard index of their hashes.
 
 A document's successor (the next lower doc_id; after the last, the first) is
-found without one global window: ids are cut into ranges, and the first
-document of each range also goes to the range before, as that range's last
-successor.
+found without one global window. Rows are sorted by falling id, rows of equal ids by a hash of their texts, and dealt
+out by ranges of that order, as many as there are shuffle partitions. The bounds are quantiles of a
+sample, ``PER_RANGE`` rows of each range on average, which only bear on balance. Each range's first row also goes
+to the range before, as its last successor. Rows that are alike in id and text may take
+several ranges: they follow each other, so each is its own successor but for the last.
 
 Defined cases: null and empty texts have the empty fingerprint, and two empty
 fingerprints have likeness 1; a text shorter than a gram is one gram; rows with
-equal ids follow each other in text order, nulls come last; a lone document is
+equal ids follow each other by their texts' hashes, nulls come last; a lone document is
 its own successor; an empty table gives an empty result; other columns are
 never looked at.
 """
@@ -33,6 +35,8 @@ from pyspark.sql import functions as F
 from . import common
 
 GRAM, WINDOW = 12, 8
+#: Sampled rows of each range.
+PER_RANGE = 30
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _POWER = [pow(_BASE, k, 1 << 64) for k in range(GRAM + 1)]
@@ -113,40 +117,95 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def _range_of(bounds: list, c: Column) -> Column:
-    """Number of the range that c lies in, by a balanced tree of comparisons."""
-
-    def tree(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(c < F.lit(bounds[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
+def _keys(ids: pa.Array, hashed: pa.Array) -> np.ndarray:
+    """Place of each row in the order (falling ids, nulls last, then hashes) as bytes that sort alike."""
+    null = ids.is_null().to_numpy(zero_copy_only=False)
+    out = np.zeros(len(ids), [("null", "u1"), ("id", ">u8"), ("hash", ">u8")])
+    out["null"] = null
+    top = np.uint64(1 << 63)
+    out["id"] = np.where(null, np.uint64(0), (~ids.fill_null(0).to_numpy(zero_copy_only=False)).view(np.uint64) ^ top)
+    out["hash"] = hashed.to_numpy(zero_copy_only=False).view(np.uint64) ^ top
+    return out.view("S17")
+
+
+class _Ranges:
+    """Bounds between ranges, and the first key of each range that has rows. A key that is several bounds takes several ranges."""
+
+    def __init__(self, sample: np.ndarray, n: int):
+        sample = np.sort(sample)
+        self.n = n
+        self.bounds = sample[[len(sample) * k // n for k in range(1, n)]] if len(sample) else sample
+        self.first: dict[int, bytes] = {}
+
+    def of(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and last range of each key."""
+        last = np.searchsorted(self.bounds, keys, "right")
+        return np.minimum(np.searchsorted(self.bounds, keys, "left") + 1, last), last
+
+    def firsts(self, keys: np.ndarray) -> dict[int, bytes]:
+        """The first of these keys in each range."""
+        keys = np.unique(keys)
+        out: dict[int, bytes] = {}
+        first, last = self.of(keys)
+        for i in np.flatnonzero(first < last).tolist():
+            out |= dict.fromkeys(range(first[i], last[i]), keys[i])
+        lead = np.flatnonzero(np.append(True, last[1:] != last[:-1])) if len(keys) else []
+        return out | {int(last[i]): keys[i] for i in lead}
+
+    def close(self, first: dict[int, bytes]) -> None:
+        self.first = first
+        order = sorted(first)
+        self.after = dict(zip(order, order[1:] + order[:1]))
+        self.before = {b: a for a, b in self.after.items()}
+
+
+def _ranges(keyed: DataFrame, n: int) -> _Ranges:
+    """Ranges of rows(doc_id, h). The driver gets the sample and one key of each range."""
+    total = keyed.count()
+    share = min(1.0, PER_RANGE * n / max(1, total))
+    got = keyed.where(F.rand(7) < share).toArrow() if total else keyed.limit(0).toArrow()
+    ids, hashed = (got.column(k).combine_chunks() for k in range(2))
+    ranges = _Ranges(_keys(ids, hashed), n)
+
+    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, bytes] = {}
+        for b in batches:
+            for at, key in ranges.firsts(_keys(b.column(0), b.column(1))).items():
+                found[at] = min(key, found.get(at, key))
+        cols = [pa.array(list(found), pa.int32()), pa.array([k.ljust(17, b"\0") for k in found.values()], pa.binary())]
+        yield pa.RecordBatch.from_arrays(cols, ["at", "key"])
 
-    return tree(0, len(bounds))
+    least = keyed.mapInArrow(firsts, "at int, key binary").groupBy("at").agg(F.min("key").alias("key")).collect()
+    ranges.close({r["at"]: bytes(r["key"]) for r in least})
+    return ranges
 
 
-def with_successor_ranges(rows: DataFrame, ranges: int) -> DataFrame:
-    """rows(doc_id, text) dealt by ranges of ids: at (range), ghost (1: only a successor), doc_id, text.
+def _deal(ranges: _Ranges):
+    """Maps batches of doc_id, text, h to those of at (range), ghost (1: only a successor), doc_id, text, h."""
 
-    The bounds are quantiles of the ids, and the driver sees them and the
-    greatest id of each range, no more.
-    """
-    bounds = sorted(set(rows.where("doc_id IS NOT NULL").approxQuantile("doc_id", [k / ranges for k in range(1, ranges)], 0.01)))
-    at = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(_range_of([int(b) for b in bounds], F.col("doc_id")))
-    rows = rows.withColumn("at", at.cast("int"))
-    tops = {r["at"]: r["top"] for r in rows.groupBy("at").agg(F.max("doc_id").alias("top")).collect()}
-    order = sorted(tops, reverse=True)
-    # The first row of a range also ends the range before it; the first of all ends the last.
-    ends = [
-        F.when(F.col("at") == k, F.lit(order[i - 1])) for i, k in enumerate(order)
-    ]
-    first = F.lit(False)
-    for k in order:
-        first = first | ((F.col("at") == k) & (F.col("doc_id") == tops[k] if tops[k] is not None else F.col("doc_id").isNull()))
-    own = F.struct(F.col("at").alias("at"), F.lit(0).alias("ghost"))
-    ghost = F.struct((F.coalesce(*ends) if ends else F.lit(0)).cast("int").alias("at"), F.lit(1).alias("ghost"))
-    dealt = rows.withColumn("g", F.explode(F.when(first, F.array(own, ghost)).otherwise(F.array(own))))
-    return dealt.select("g.at", "g.ghost", "doc_id", "text")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: dict[bytes, int] = {}
+        sent = set()
+        heads = set(ranges.first.values())
+        for b in batches:
+            keys = _keys(b.column(0), b.column(2))
+            first, last = ranges.of(keys)
+            at = last.copy()
+            for i in np.flatnonzero(first < last).tolist():  # alike rows: the first of a task goes to the last range, which must have some
+                k = met[keys[i]] = met.get(keys[i], -1) + 1
+                at[i] = last[i] - k % (last[i] - first[i] + 1)
+            ghosts = []
+            for i in np.flatnonzero(np.isin(keys, np.array(list(heads), "S17"))).tolist():
+                key = keys[i].ljust(17, b"\0")
+                if key not in sent and ranges.first.get(int(first[i])) == key:
+                    sent.add(key)
+                    ghosts.append((i, ranges.before[int(first[i])]))
+            rows = b.take(pa.array([*range(len(keys)), *[i for i, _ in ghosts]]))
+            place = pa.array(np.concatenate([at, [k for _, k in ghosts]]).astype(np.int32))
+            kind = pa.array(np.repeat([0, 1], [len(keys), len(ghosts)]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([place, kind, *rows.columns], ["at", "ghost", "doc_id", "text", "h"])
+
+    return run
 
 
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -155,9 +214,11 @@ SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, e
 def fingerprints_with_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """SCHEMA, a row for each row of df."""
     rows = df.select(df[id_col].cast("long").alias("doc_id"), common.whole_text(df, text_col).alias("text"))
+    rows = rows.select("doc_id", "text", F.xxhash64("text").alias("h"))
     n = common.partitions(df.sparkSession)
-    dealt = with_successor_ranges(rows, n).repartition(n, "at")
-    dealt = dealt.sortWithinPartitions("at", "ghost", F.col("doc_id").desc_nulls_last(), "text")
+    ranges = _ranges(rows.select("doc_id", "h"), n)
+    dealt = rows.mapInArrow(_deal(ranges), "at int, ghost int, doc_id long, text string, h long").repartitionById(n, "at")
+    dealt = dealt.sortWithinPartitions("at", "ghost", F.col("doc_id").desc_nulls_last(), "h", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, size, held = [], 0, None
@@ -178,9 +239,19 @@ def fingerprints_with_edits(df: DataFrame, id_col: str = "doc_id", text_col: str
             names = [x.split()[0] for x in SCHEMA.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
+        def close():
+            """The last row of a range that no ghost followed: alike rows go on in the next range."""
+            if held is not None:
+                at, key, _, text, kept = held
+                if ranges.first[ranges.after[at]] != key:
+                    raise RuntimeError("a range lacks its last successor")
+                out.append(finish(text, kept))
+
         for b in batches:
-            for at, ghost, doc, text in zip(*[c.to_pylist() for c in b.columns]):
+            keys = _keys(b.column(2), b.column(4))
+            for at, ghost, doc, text, key in zip(*[c.to_pylist() for c in b.columns[:4]], keys.tolist()):
                 if held is not None and held[0] != at:
+                    close()
                     held = None
                 if ghost and held is None:
                     continue
@@ -189,10 +260,11 @@ def fingerprints_with_edits(df: DataFrame, id_col: str = "doc_id", text_col: str
                     out.append(finish(text, kept))
                     size += len(text)
                 # Of a range's ghosts the first one counts.
-                held = None if ghost else (at, ghost, doc, text, kept)
+                held = None if ghost else (at, key.ljust(17, b"\0"), doc, text, kept)
                 if size > 1_000_000:
                     yield flush()
                     out, size = [], 0
+        close()
         if out:
             yield flush()
 
