@@ -22,8 +22,13 @@ from the walk. The spanning links of all cells are contracted by alternating
 large-star and small-star steps on the cluster.
 
 The pipeline's stage has another rule: texts whose sets of five-word shingles
-have a Jaccard index of 0.8 or more. Its pairs are found by a prefix join and
-each is verified on the whole sets (of 64-bit hashes).
+have a Jaccard index of 0.8 or more. Two such sets share one of the hashes that come first in a fixed
+order (a prefix of a fifth), so sets are dealt out by the hashes of their prefixes. Where
+sets meet, the Hamming budget prunes: SimHash fingerprints of such sets differ in some
+10 bits of 64 on average, and pairs over ``NEAR_BITS`` = 24 are dropped (sets of under ``FEW`` shingles, whose
+bits say less, are all kept). All others are verified on their texts. This is done in two rounds, so that a group of
+many near copies doesn't give all its pairs: first each set with the first one of its size that it
+meets at each hash; then, with the groups that this gives, all pairs that meet and are in different groups.
 
 Defined cases: null and empty texts have fingerprint zero and link like any
 other; copies and repeated rows share a fingerprint and so a group; a null
@@ -43,8 +48,10 @@ from pyspark.sql import functions as F
 from . import common
 
 SHINGLE, SEED, ERRORS = 4, 42, 4
-#: Words of a shingle of the pipeline's stage, and followers that a set is paired with for each hash.
-WORDS, NEAR = 5, 24
+#: The pipeline's stage: words of a shingle, bits that may differ, and shingles of a set that is too small for that test.
+WORDS, NEAR_BITS, FEW = 5, 24, 40
+#: Sets that meet at one hash and are compared in one task; more are cut into pieces, and each pair of pieces is a cell.
+MEET_ROWS = 20_000
 #: Width of the blocks, from the highest bit down.
 BLOCKS = (13, 13, 13, 13, 12)
 CELL_ROWS = 1_000_000
@@ -215,16 +222,10 @@ def _turn(values: np.ndarray, bits: int) -> np.ndarray:
 OFFSETS = [sum(BLOCKS[:k]) for k in range(len(BLOCKS))]
 
 
-def links(fps: DataFrame, parts: int, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """a, b: links that span the groups of the distinct fingerprints in fps.fp."""
-    starts = F.explode(F.array(*[F.struct(F.lit(k).alias("turn"), F.lit(o).alias("bits")) for k, o in enumerate(OFFSETS)]))
-    rows = fps.select("fp", starts.alias("s")).select("fp", "s.turn", "s.bits")
-    # A cell is the 12 top bits, the width of the narrowest block.
-    turned = F.expr("CASE WHEN bits = 0 THEN fp ELSE shiftleft(fp, bits) | shiftrightunsigned(fp, 64 - bits) END")
-    rows = rows.select("fp", "turn", F.shiftrightunsigned(turned, 64 - BLOCKS[-1]).alias("top"))
-    big = rows.groupBy("turn", "top").count().where(F.col("count") > cell_rows)
-    big = big.select("turn", "top", F.ceil(F.col("count") / (cell_rows / 2)).cast("int").alias("pieces"))
-    rows = rows.join(big, ["turn", "top"], "left")
+def _cells(rows: DataFrame, keys: list[str], cell_rows: int) -> DataFrame:
+    """rows(fp, ...) with i, j, side: groups of equal keys with more rows are cut into pieces, and each row goes to the pairs of pieces that its own is in."""
+    big = rows.groupBy(*keys).count().where(F.col("count") > cell_rows)
+    big = big.select(*keys, F.ceil(F.col("count") / (cell_rows / 2)).cast("int").alias("pieces"))
     piece = F.pmod(F.xxhash64("fp"), F.col("pieces")).cast("int")
     cells = F.when(
         F.col("pieces").isNull(), F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side")))
@@ -236,35 +237,46 @@ def links(fps: DataFrame, parts: int, cell_rows: int = CELL_ROWS) -> DataFrame:
             ),
         )
     )
-    rows = rows.select("fp", "turn", "top", F.explode(cells).alias("c")).select("fp", "turn", "top", "c.i", "c.j", "c.side")
-    dealt = rows.repartition(parts, "turn", "top", "i", "j").sortWithinPartitions("turn", "top", "i", "j")
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.join(big, keys, "left").select(*rest, *keys, F.explode(cells).alias("c")).select(*rest, *keys, "c.i", "c.j", "c.side")
+
+
+def _by_cell(batches: Iterator[pa.RecordBatch], keys: slice) -> Iterator[list[np.ndarray]]:
+    """The columns of each run of equal keys, whatever the batches."""
+    held, key = [], None
+    for batch in batches:
+        cols = [c.to_numpy() for c in batch.columns]
+        k = np.stack(cols[keys], 1)
+        edge = np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
+        for lo, hi in zip([0, *edge], [*edge, len(k)]):
+            if hi == lo:
+                continue
+            if key is not None and tuple(k[lo]) != key:
+                yield [np.concatenate(x) for x in zip(*held)]
+                held = []
+            key = tuple(k[lo])
+            held.append([c[lo:hi] for c in cols])
+    if held:
+        yield [np.concatenate(x) for x in zip(*held)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, key = [], None
 
-        def solve():
-            fp, turn, side = (np.concatenate(x) for x in zip(*held))
-            k = int(turn[0])
-            bits = OFFSETS[k]
-            a, b = trie_links(_turn(fp.view(np.uint64), bits), side, k)
-            back = [_turn(x, 64 - bits).view(np.int64) for x in (a, b)]
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in back], ["a", "b"])
+def links(fps: DataFrame, parts: int, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """a, b: links that span the groups of the distinct fingerprints in fps.fp."""
+    starts = F.explode(F.array(*[F.struct(F.lit(k).alias("turn"), F.lit(o).alias("bits")) for k, o in enumerate(OFFSETS)]))
+    rows = fps.select("fp", starts.alias("s")).select("fp", "s.turn", "s.bits")
+    # A cell is the 12 top bits, the width of the narrowest block.
+    turned = F.expr("CASE WHEN bits = 0 THEN fp ELSE shiftleft(fp, bits) | shiftrightunsigned(fp, 64 - bits) END")
+    rows = rows.select("fp", "turn", F.shiftrightunsigned(turned, 64 - BLOCKS[-1]).alias("top"))
+    rows = _cells(rows, ["turn", "top"], cell_rows)
+    dealt = rows.repartition(parts, "turn", "top", "i", "j").sortWithinPartitions("turn", "top", "i", "j")
 
-        for batch in batches:
-            cols = [c.to_numpy() for c in batch.columns]
-            keys = np.stack(cols[1:5], 1)
-            edge = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
-            for lo, hi in zip([0, *edge], [*edge, len(keys)]):
-                if hi == lo:
-                    continue
-                if key is not None and tuple(keys[lo]) != key:
-                    if sum(len(x[0]) for x in held) > 1:
-                        yield solve()
-                    held = []
-                key = tuple(keys[lo])
-                held.append((cols[0][lo:hi], cols[1][lo:hi], cols[5][lo:hi]))
-        if held and sum(len(x[0]) for x in held) > 1:
-            yield solve()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for fp, turn, _, _, _, side in _by_cell(batches, slice(1, 5)):
+            if len(fp) > 1:
+                bits = OFFSETS[int(turn[0])]
+                a, b = trie_links(_turn(fp.view(np.uint64), bits), side, int(turn[0]))
+                back = [_turn(x, 64 - bits).view(np.int64) for x in (a, b)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in back], ["a", "b"])
 
     return dealt.mapInArrow(run, "a long, b long")
 
@@ -349,88 +361,160 @@ def grams(text: str | None, hashed: dict | None = None) -> np.ndarray:
     return np.unique(out.view(np.int64))
 
 
+def majority(grams: np.ndarray) -> int:
+    """SimHash of a set of hashes, signed."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(grams), 1 << 16):
+        part = grams[at : at + (1 << 16)].astype(">i8").view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
+    return _signed(int.from_bytes(np.packbits(2 * ones > len(grams)).tobytes(), "big"))
+
+
+def _name(grams: np.ndarray) -> int:
+    from xxhash import xxh64_intdigest
+
+    return _signed(xxh64_intdigest(grams.tobytes(), SEED))
+
+
 def gram_sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (hash of the whole set) and grams of each row."""
+    """doc_id, fp (hash of the whole set of shingles), n (its size), sim (its SimHash) and prefix (its least hashes, a fifth) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh64_intdigest
-
         hashed = _WordHashes()
         for b in batches:
             sets = [grams(t, hashed) for t in b.column(1).to_pylist()]
-            fps = [_signed(xxh64_intdigest(g.tobytes(), SEED)) for g in sets]
-            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets) if sets else np.array([], np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), lists], ["doc_id", "fp", "grams"])
+            heads = [g[: len(g) - (4 * len(g) + 4) // 5 + 1] for g in sets]  # n - ceil(0.8 n) + 1
+            ends = np.cumsum([0, *map(len, heads)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(heads) if heads else np.array([], np.int64)))
+            cols = [pa.array([f(g) for g in sets], pa.int64()) for f in (_name, len, majority)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols, lists], ["doc_id", "fp", "n", "sim", "prefix"])
 
     rows = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long, grams array<long>")
+    return rows.mapInArrow(run, "doc_id long, fp long, n long, sim long, prefix array<long>")
 
 
-def prefix_pairs(sets: DataFrame, parts: int, near: int = NEAR) -> DataFrame:
-    """a, b: pairs of different sets that may have a Jaccard index of 0.8.
+def _close(n: np.ndarray, sim: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which pairs of places may be similar, by sizes and bits."""
+    low, high = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+    return (5 * low >= 4 * high) & ((low < FEW) | (np.bitwise_count((sim[i] ^ sim[j]).view(np.uint64)) <= NEAR_BITS))
 
-    Such a pair shares one of the least n - ceil(0.8 n) + 1 hashes of either
-    side. Rows with one hash are sorted by size, and each is paired with its
-    ``near`` followers and with the first. So a hash of up to near + 1 sets
-    gives all of their pairs, and one of many gives pairs in proportion.
-    """
-    size = F.size("grams")
-    # ceil(4 n / 5) in whole numbers.
-    keep = size - F.expr("(4 * size(grams) + 4) div 5").cast("int") + 1
-    rows = sets.where(size > 0).select("fp", size.alias("n"), F.explode(F.slice("grams", F.lit(1), keep)).alias("h"))
-    dealt = rows.repartition(parts, "h").sortWithinPartitions("h", "n", "fp").select("h", "n", "fp")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail = np.zeros((0, 5), np.int64)  # the last rows: h, n, fp, and n and fp of the first of their hash
+def meetings(sets: DataFrame, parts: int) -> DataFrame:
+    """h, n, fp, sim: the sets that meet others at a prefix hash; sets(fp, n, sim, prefix) are different."""
+    rows = sets.select("n", "fp", "sim", F.explode("prefix").alias("h")).select("h", "n", "fp", "sim")
+    dealt = rows.repartition(parts, "h").sortWithinPartitions("h", "n", "fp")
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows whose hash the row before or after has too; the last row of a batch waits for the next."""
+        last, met = None, False
         for b in batches:
-            new = np.stack([c.to_numpy() for c in b.columns], 1).astype(np.int64)
-            before = tail[-1:, :3] if len(tail) else new[:1, :3] + 1
-            new = new[(new != np.concatenate([before, new[:-1]])).any(axis=1)]  # copies
-            if not len(new):
-                continue
-            started = np.append(len(tail) == 0 or tail[-1, 0] != new[0, 0], new[1:, 0] != new[:-1, 0])
-            at = np.maximum.accumulate(np.where(started, np.arange(len(new)), -1))
-            first = np.where((at >= 0)[:, None], new[np.maximum(at, 0), 1:3], tail[-1:, 3:5] if len(tail) else 0)
-            x = np.concatenate([tail, np.concatenate([new, first], 1)])
-            old, found = len(tail), []
-            for d in range(1, min(near, len(x) - 1) + 1):
-                j = np.arange(max(old, d), len(x))
-                i = j - d
-                ok = (x[i, 0] == x[j, 0]) & (5 * x[i, 1] >= 4 * x[j, 1])
-                if not (x[i, 0] == x[j, 0]).any():
-                    break
-                found.append(np.stack([x[i[ok], 2], x[j[ok], 2]], 1))
-            y = x[old:]
-            ok = 5 * y[:, 3] >= 4 * y[:, 1]
-            found.append(y[ok][:, [4, 2]])
-            pairs = np.concatenate(found)
-            pairs = np.unique(np.sort(pairs[pairs[:, 0] != pairs[:, 1]], axis=1), axis=0)
+            if last is not None:
+                b = pa.Table.from_batches([last, b]).combine_chunks().to_batches()[0]
+            h = b.column(0).to_numpy()
+            same = h[1:] == h[:-1]
+            both = np.append(met if last is not None else False, same) | np.append(same, False)
+            yield b.slice(0, len(h) - 1).filter(pa.array(both[:-1]))
+            last, met = b.slice(len(h) - 1), bool(both[-1])
+        if last is not None and met:
+            yield last
+
+    return dealt.mapInArrow(shared, "h long, n long, fp long, sim long")
+
+
+def first_pairs(met: DataFrame, parts: int) -> DataFrame:
+    """a, b: at each hash, by size, each set with the first one; a set that is too large for it is the next first."""
+    dealt = met.repartition(parts, "h").sortWithinPartitions("h", "n", "fp")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = None
+        for batch in batches:
+            h, n, fp, sim = (c.to_numpy() for c in batch.columns)
+            a = np.empty(len(h), np.int64)
+            keep = np.zeros(len(h), bool)
+            for k, (x, size, name, bits) in enumerate(zip(h.tolist(), n.tolist(), fp.tolist(), sim.tolist())):
+                if first is None or first[0] != x or 5 * first[1] < 4 * size:
+                    first = (x, size, name, bits)
+                elif name != first[2]:
+                    keep[k] = first[1] < FEW or ((bits ^ first[3]) & (1 << 64) - 1).bit_count() <= NEAR_BITS
+                a[k] = first[2]
+            pairs = np.unique(np.sort(np.stack([a[keep], fp[keep]], 1), axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def other_pairs(met: DataFrame, roots: DataFrame, parts: int, meet_rows: int = MEET_ROWS) -> DataFrame:
+    """a, b: all pairs of sets that meet, may be similar and are in different groups of roots(member, root)."""
+    named = met.join(roots, met["fp"] == roots["member"], "left").select("fp", "n", "sim", F.coalesce("root", "fp").alias("root"), "h")
+    # Where all are in one group there is nothing to compare.
+    several = named.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("h")
+    rows = _cells(named.join(several, "h", "left_semi").select("fp", "n", "sim", "root", "h"), ["h"], meet_rows)
+    dealt = rows.repartition(parts, "h", "i", "j").sortWithinPartitions("h", "i", "j", "n")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for fp, n, sim, root, _, _, _, side in _by_cell(batches, slice(4, 7)):
+            cut, found = side.any() and not side.all(), []
+            for lo in range(0, len(fp), 512):  # by size, so that no larger one than 1.25 times the last is compared
+                i = np.arange(lo, min(lo + 512, len(fp)))
+                j = np.arange(lo, np.searchsorted(4 * n, 5 * n[i[-1]], "right"))
+                x, y = (z.ravel() for z in np.meshgrid(i, j, indexing="ij"))
+                ok = (x < y) & (root[x] != root[y])
+                if cut:
+                    ok &= side[x] != side[y]
+                x, y = x[ok], y[ok]
+                ok = _close(n, sim, x, y)
+                found.append(np.stack([fp[x[ok]], fp[y[ok]]], 1))
+            pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
             if len(pairs):
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
-            tail = x[-near:]
 
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def near_links(sets: DataFrame, parts: int) -> DataFrame:
-    """a, b: pairs of sets(fp, grams) that are found by prefix_pairs and have a Jaccard index of at least 0.8, exactly."""
-    pairs = common.materialize(prefix_pairs(sets, parts))
+def verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of pairs(a, b) whose texts have a Jaccard index of at least 0.8. sets(fp, least): an id with each set; texts(doc_id, text)."""
     need = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    held = common.materialize(sets.join(need, "fp", "left_semi").groupBy("fp").agg(F.first("grams").alias("grams")))
-    both = pairs.join(held.select(F.col("fp").alias("a"), F.col("grams").alias("x")), "a")
-    both = both.join(held.select(F.col("fp").alias("b"), F.col("grams").alias("y")), "b")
-    both = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("shared"), (F.size("x") + F.size("y")).alias("sizes"))
-    return both.where("5 * shared >= 4 * (sizes - shared)").select("a", "b")
+    ids = sets.join(need, "fp", "left_semi").select(F.col("least").alias("id")).distinct()
+    held = texts.join(ids, texts["doc_id"].eqNullSafe(ids["id"]), "left_semi")
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashed = _WordHashes()
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([_name(grams(t, hashed)) for t in b.column(1).to_pylist()], pa.int64()), b.column(1)], ["fp", "text"])
+
+    # Rows of one id may have different texts.
+    held = common.materialize(held.mapInArrow(name, "fp long, text string").join(need, "fp", "left_semi").dropDuplicates(["fp"]))
+    both = pairs.join(held.select(F.col("fp").alias("a"), F.col("text").alias("x")), "a")
+    both = both.join(held.select(F.col("fp").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashed = _WordHashes()
+        for b in batches:
+            ok = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                x, y = grams(x, hashed), grams(y, hashed)
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(5 * shared >= 4 * (len(x) + len(y) - shared))
+            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    out = common.materialize(both.mapInArrow(check, "a long, b long"))
+    common.discard(held)
+    return out
 
 
 def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (of the set of shingles) and component_id (the least doc_id that near_links reach) of each row."""
+    """doc_id, fp (of the set of shingles) and component_id (the least doc_id that links of a Jaccard index of 0.8 reach) of each row."""
     parts = common.partitions(df.sparkSession)
-    sets = common.materialize(gram_sets(df, id_col, text_col))
-    rows = sets.select("doc_id", "fp")
-    least = common.materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    return _named(rows, least, near_links(sets.select("fp", "grams"), parts))
+    texts = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text"))
+    rows = common.materialize(gram_sets(texts))
+    # One row of each set; ids that are missing come last.
+    some = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "n", "sim", "prefix")).alias("s")
+    sets = common.materialize(rows.groupBy("fp").agg(some).select("fp", F.col("s.doc_id").alias("least"), "s.n", "s.sim", "s.prefix"))
+    met = common.materialize(meetings(sets.where("n > 0"), parts))
+    near = verified(common.materialize(first_pairs(met, parts)), sets, texts)
+    more = common.materialize(other_pairs(met, star_components(near), parts))
+    edges = near.unionByName(verified(more, sets, texts))
+    return _named(rows.select("doc_id", "fp"), sets.select("fp", "least"), edges)
 
 
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
