@@ -13,6 +13,11 @@ joint text. So a piece ends at a character if the pair of it and the piece
 before it passes that test, exactly one passes, and its length is the score. The test of
 a pair is made once in a worker and kept in a sorted table.
 
+A long word without spaces is cut into overlapping slices that advance together
+like words. What may end at a place depends on no more places before it than the longest piece
+has characters, so where a slice agrees with the one before it at that many places in
+a row, it agrees from there on; where they don't agree, the search goes on place by place.
+
 Ids equal those of the SentencePiece library. The model's path is a
 parameter; a model whose normaliser isn't the identity is refused.
 
@@ -36,6 +41,8 @@ from . import common
 SPACE = "▁"
 #: Words that a worker remembers.
 CACHE_WORDS = 1_000_000
+#: Words of more characters are cut into slices of this length, which overlap by LAP.
+SLICE, LAP = 1024, 256
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -128,8 +135,8 @@ class Codec:
             at = np.searchsorted(self.pair_keys, key)
         return self.pair_ok[at]
 
-    def _equal_length(self, words: list[str]) -> list[bytes]:
-        """Ids of words that have the same length."""
+    def _search(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of words that have the same length, for each place: the piece that ends there, its length and the best sum of scores."""
         n, size = len(words), len(words[0])
         codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(n, size).astype(np.uint64)
         h = np.zeros((size + 1, n), np.uint64)
@@ -171,6 +178,13 @@ class Codec:
                 last[i, live], width[i, live] = piece, k
                 if not len(free):
                     break
+        return last, width, total
+
+    def _equal_length(self, words: list[str]) -> list[bytes]:
+        """Ids of words that have the same length."""
+        n, size = len(words), len(words[0])
+        last, width, _ = self._search(words)
+        every = np.arange(n)
         # All words walk their backpointers together; row r of `back` has the pieces from the r-th last on.
         back, at = [], np.full(n, size)
         while (at > 0).any():
@@ -186,6 +200,60 @@ class Codec:
             lo = hi
         return out
 
+    def _next_place(self, word: str, i: int, last: np.ndarray, total: np.ndarray) -> None:
+        """Fill place i of one word."""
+        found = [(k, self.id_of[word[i - k : i]]) for k in range(min(i, self.longest), 0, -1) if word[i - k : i] in self.id_of]
+        if not found or found[-1][0] > 1:
+            found.append((1, self.none))
+        if self.unigram:
+            total[i], last[i] = max(((total[i - k] + self.score[p], p) for k, p in found), key=lambda x: x[0])
+            return
+        for k, p in found:
+            before = int(last[i - k])
+            if self.none in (before, p) or self._pairs_pass(np.array([before]), np.array([p]))[0]:
+                last[i] = p
+                return
+
+    def _long(self, word: str) -> bytes:
+        """Ids of a word of more than SLICE characters."""
+        size = len(word)
+        last, total = np.full(size + 1, -1, np.int64), np.zeros(size + 1)
+        at = list(range(0, size - LAP, SLICE - LAP))
+        by_length: dict[int, list[int]] = {}
+        for s in at:
+            by_length.setdefault(len(word[s : s + SLICE]), []).append(s)
+        tables = {}
+        for some in by_length.values():
+            for k in range(0, len(some), 400):
+                part = some[k : k + 400]
+                x, _, z = self._search([word[s : s + SLICE] for s in part])
+                tables |= {s: (x[:, j].astype(np.int32), z[:, j] if self.unigram else None) for j, s in enumerate(part)}
+        done = 0
+        for s in at:
+            x, z = tables.pop(s)
+            stop = s + len(x) - 1
+            same = s == 0
+            if s and done - s >= self.longest:
+                lap = slice(done - s - self.longest + 1, done - s + 1)
+                same = (x[lap] == last[s:][lap]).all()
+                if same and self.unigram:
+                    ahead = total[s:][lap] - z[lap]
+                    same = np.ptp(ahead) < 1e-6
+            if same:
+                last[done + 1 : stop + 1] = x[done - s + 1 :]
+                if self.unigram:
+                    total[done + 1 : stop + 1] = z[done - s + 1 :] + (total[done] - z[done - s] if s else 0.0)
+            else:
+                for i in range(done + 1, stop + 1):
+                    self._next_place(word, i, last, total)
+            done = stop
+        ids, i = [], size
+        while i:
+            ids.append(int(last[i]))
+            i -= 1 if ids[-1] == self.none else len(self.text[ids[-1]])
+        ids.reverse()
+        return self._with_bytes(word, ids) if self.none in ids else np.array(ids, np.int32).tobytes()
+
     def _with_bytes(self, word: str, ids: list[int]) -> bytes:
         """ids in which byte pieces (or the unknown piece) take the place of characters that no piece has."""
         out, at = [], 0
@@ -207,6 +275,9 @@ class Codec:
         for w in set().union(*cut).difference(self.known) if cut else ():
             by_length.setdefault(len(w), []).append(w)
         for size, words in sorted(by_length.items()):
+            if size > SLICE:
+                self.known.update((w, self._long(w)) for w in words)
+                continue
             step = max(1, 400_000 // (size + 1))
             for k in range(0, len(words), step):
                 self.known.update(zip(words[k : k + step], self._equal_length(words[k : k + step])))
