@@ -94,9 +94,9 @@ class Index:
 
 
 def with_words(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """df and _words: the words of the lower-cased text."""
+    """_in (a row of df) and _words: the words of the lower-cased text."""
     text = common.lower_ascii(common.whole_text(df, text_col))
-    return df.withColumn("_words", F.array_remove(F.split(text, NOT_WORD), ""))
+    return df.select(F.struct(*[df[c] for c in df.columns]).alias("_in"), F.array_remove(F.split(text, NOT_WORD), "").alias("_words"))
 
 
 def by_idf(worded: DataFrame, index: Index) -> list[str]:
@@ -192,7 +192,7 @@ def scan(df: DataFrame, text_col: str = "text", templates=TEMPLATES) -> DataFram
     )
     out = out.withColumns({"_starts": starts, "_labels": F.array_sort(F.array_distinct(base))})
     more = F.transform(F.filter("_judged", lambda j: j["ok"]), lambda j: j["label"])
-    kept = [c for c in df.columns if c not in RESULT]
+    kept = [F.col("_in")[c].alias(c) for c in df.columns if c not in RESULT]
     return out.select(
         *kept,
         F.size(words).cast("long").alias("n_words"),

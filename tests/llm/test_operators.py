@@ -143,6 +143,38 @@ def test_license_finds_all_of_several(spark):
     assert len(got[117]) == 13
 
 
+def plain_labels(words):
+    """Labels of templates that stand somewhere: every key word, and three quarters of all words."""
+    out, best = set(), 0.0
+    for label, text in license_scan.TEMPLATES:
+        want = text.split()
+        for at in range(1 - len(want), len(words)):
+            hit = [0 <= at + i < len(words) and words[at + i] == w.lower() for i, w in enumerate(want)]
+            if sum(hit) >= license_scan.ACCEPT * len(want) and all(h for h, w in zip(hit, want) if w == w.upper()):
+                out.add(label)
+                best = max(best, sum(hit) / len(want))
+    return out, best
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_license_equals_plain_on_all_rows(spark, sf):
+    d = f"/root/testdata/{sf}"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    rows = license_scan.op2_license_scan(spark, d).collect()
+    assert len(rows) == len(texts)
+    some = {w.lower() for _, t in license_scan.TEMPLATES for w in t.split() if w == w.upper() and len(w) > 1}
+    for r in rows:
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in texts[r.doc_id]))
+        places = [(i, label) for phrase, label in license_scan.BASE.items() for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()]
+        starts = [i for i, _ in places]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(words), len(places), min(starts, default=None), max(starts, default=None))
+        base = {label for _, label in places}
+        assert r.base_labels == ",".join(sorted(base))
+        more, best = plain_labels(words) if len(some & set(words)) > 1 else (set(), 0.0)
+        assert r.labels == ",".join(sorted(base | more))
+        assert r.score == 1.0 if places else r.score >= best
+
+
 def test_secrets(spark, monkeypatch):
     rows = {r.doc_id: r for r in run(secret_scan.op3_secret_scan, docs(spark), monkeypatch)}
     t, r = TEXTS[8], rows[8]
@@ -391,8 +423,11 @@ def test_toxicity_on_held_out_rows(spark):
 
 
 def test_extra_columns_clash(spark):
-    wide = docs(spark).selectExpr("*", "1 AS n_words", "2 AS score", "3 AS kept", "4 AS host", "5 AS labels")
-    assert license_scan.scan(wide).count() == len(TEXTS)
+    wide = docs(spark).selectExpr("*", "1 AS n_words", "2 AS score", "3 AS kept", "4 AS host", "5 AS labels", "6 AS _words", "7 AS _cands", "8 AS _in")
+    out = license_scan.scan(wide)
+    assert out.count() == len(TEXTS) and out.select("_words", "_cands", "_in").distinct().collect() == [(6, 7, 8)]
+    assert quality_classifier.filter_stage(wide).columns == wide.columns
+    assert packing.pack(wide.selectExpr("*", "9 AS rank", "10 AS run_first", "11 AS before")).count() >= len(TEXTS)
     assert quality_rules.filter_stage(wide).columns == wide.columns
     assert simhash.filter_stage(wide).columns == wide.columns
     assert secret_scan.redact_stage(wide).columns == wide.columns
