@@ -2,8 +2,11 @@
 
 Several roots advance together, keyed by (root, v). In a symmetric graph the
 neighbours of a level lie in the level before, in it or in the next one, so
-a step drops what the last two levels hold instead of all that was
-reached: the work of a level follows its frontier, not the graph.
+a top-down step drops what the last two levels hold instead of all that was
+reached: the work of a level follows its frontier, not the graph. A bottom-up
+step starts from the unreached vertices, a table that is made when
+the direction first turns and then carried forward, shrinking. Both read the
+edges in their buckets.
 """
 
 from __future__ import annotations
@@ -15,10 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.policy import DirectionPolicy
-from ..sources.storage import materialize, materialize_counted
+from ..sources.storage import discard, materialize, materialize_counted
 from .graph import Graph
 
-SCHEMA = "root long, v long, pred long, level int, degree long"
+#: Bottom-up steps look at each root's unreached vertices; with more roots than this all steps are top-down.
+MOST_ROOTS = 64
 
 
 @dataclass
@@ -32,23 +36,26 @@ class Traversal:
 
 def top_down_step(graph: Graph, frontier: DataFrame, recent: DataFrame) -> DataFrame:
     """Neighbours of the frontier that the last levels don't hold, with their least parent."""
-    near = frontier.select("root", F.col("v").alias("src"))
-    found = graph.adj.join(near, "src").groupBy("root", F.col("dst").alias("v"))
+    near = graph.pieces(frontier).select("root", "src", "slot")
+    found = graph.adj.join(near, ["src", "slot"]).groupBy("root", F.col("dst").alias("v"))
     found = found.agg(F.min("src").alias("pred"), F.max("dst_degree").alias("degree"))
     return found.join(recent.select("root", "v"), ["root", "v"], "left_anti")
 
 
-def bottom_up_step(graph: Graph, frontier: DataFrame, reached: DataFrame, roots: DataFrame) -> DataFrame:
-    """Unreached vertices with a neighbour in the frontier: the least such neighbour is the parent.
+def unreached_vertices(graph: Graph, levels: DataFrame, roots: list[int]) -> DataFrame:
+    """root, v, degree of what each of at most MOST_ROOTS roots hasn't reached."""
+    if not roots:
+        return levels.select("root", "v", "degree").limit(0)
+    every = graph.vertices.select(F.explode(F.array(*[F.lit(r).cast("long") for r in roots])).alias("root"), "v", "degree")
+    return every.join(levels.select("root", "v"), ["root", "v"], "left_anti")
 
-    Which vertices are unreached depends on the root. Edges are narrowed to
-    unreached ends before they meet the frontier.
-    """
-    every = graph.vertices.join(F.broadcast(roots))  # roots are a short list that the caller gave
-    free = every.join(reached.select("root", "v"), ["root", "v"], "left_anti").select("root", F.col("v").alias("dst"))
-    near = frontier.select("root", F.col("v").alias("src"))
-    hits = graph.adj.join(free, "dst").join(near, ["root", "src"])
-    return hits.groupBy("root", F.col("dst").alias("v")).agg(F.min("src").alias("pred"), F.max("dst_degree").alias("degree"))
+
+def bottom_up_step(graph: Graph, frontier: DataFrame, unreached: DataFrame) -> DataFrame:
+    """unreached(root, v, degree) with pred: the least neighbour in the frontier, null where there is none."""
+    near = frontier.select("root", F.col("v").alias("dst"))
+    ends = graph.adj.select("src", "slot", "dst").join(graph.pieces(unreached).select("root", "src", "slot"), ["src", "slot"])
+    hits = ends.join(near, ["root", "dst"]).groupBy("root", F.col("src").alias("v")).agg(F.min("dst").alias("pred"))
+    return unreached.select("root", "v", "degree").join(hits, ["root", "v"], "left")
 
 
 def bfs(graph: Graph, roots: list[int] | DataFrame, policy: DirectionPolicy | None = None, first_level: int = 0, max_levels: int | None = None) -> Traversal:
@@ -68,20 +75,26 @@ def bfs(graph: Graph, roots: list[int] | DataFrame, policy: DirectionPolicy | No
             "root", F.col("root").alias("v"), F.col("root").alias("pred"), F.lit(first_level).alias("level"), F.coalesce("degree", F.lit(0).cast("long")).alias("degree")
         )
     )
-    only = frontier.select("root")  # one row for each root
-    policy = policy or DirectionPolicy(graph.num_edges, graph.num_vertices)
-    levels, trace, level = [frontier], [], first_level
+    few = [r["root"] for r in frontier.select("root").limit(MOST_ROOTS + 1).collect()]
+    policy = policy or DirectionPolicy(graph.num_edges, graph.num_vertices, by_work=graph.degree_sum)
+    figures = {"size": F.count(F.when(F.col("pred").isNotNull(), 1)), "degrees": F.coalesce(F.sum(F.when(F.col("pred").isNotNull(), F.col("degree"))), F.lit(0))}
+    levels, trace, level, swept, unreached = [frontier], [], first_level, None, None
     while max_levels is None or level - first_level < max_levels:
         direction, level = policy.direction(), level + 1
-        if direction == "top_down":
+        if direction == "top_down" or len(few) > MOST_ROOTS:
+            direction, unreached = "top_down", None
             found = top_down_step(graph, frontier, reduce(DataFrame.unionByName, levels[-2:]))
+            frontier, seen = materialize_counted(found.select("root", "v", "pred", F.lit(level).alias("level"), "degree"), **figures)
         else:
-            found = bottom_up_step(graph, frontier, reduce(DataFrame.unionByName, levels), only)
-        found = found.select("root", "v", "pred", F.lit(level).alias("level"), "degree")
-        frontier, figures = materialize_counted(found, size=F.count(F.lit(1)), degrees=F.coalesce(F.sum("degree"), F.lit(0)))
-        size, degrees = figures["size"], figures["degrees"]
+            if unreached is None:
+                unreached = unreached_vertices(graph, reduce(DataFrame.unionByName, levels), few)
+            swept, seen = materialize_counted(bottom_up_step(graph, frontier, unreached), **figures)
+            frontier = swept.where("pred IS NOT NULL").select("root", "v", "pred", F.lit(level).alias("level"), "degree")
+            unreached = swept.where("pred IS NULL").select("root", "v", "degree")
+        size, degrees = seen["size"], seen["degrees"]
         trace.append({"level": level, "direction": direction, "size": size, "edges": degrees})
         if not size:
+            discard(swept if direction == "bottom_up" else frontier)
             break
         levels.append(frontier)
         policy.advance(size, degrees)

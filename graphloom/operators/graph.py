@@ -7,8 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import bits
-from ..sources.storage import materialize_counted
+from ..sources.storage import materialize_bucketed, materialize_counted
 from . import edges as E
 
 
@@ -17,18 +16,22 @@ def degree(edges: DataFrame) -> DataFrame:
     return E.symmetrize(edges).groupBy(F.col("src").alias("v")).agg(F.count(F.lit(1)).alias("degree"))
 
 
-def degree_rank(edges: DataFrame, owners: int = 1, slices: int = 64) -> DataFrame:
+#: Ids of a slice in which vertices are numbered, where there are more than LEAST_SLICES of them.
+SLICE_IDS, LEAST_SLICES = 1_000_000, 64
+
+
+def degree_rank(edges: DataFrame, owners: int = 1) -> DataFrame:
     """v, degree, rank: by falling degree (then id) among the vertices of each owner (v mod owners).
 
     With few owners one window would put all their vertices in one task. Ranks
     are made in two steps instead: vertices are numbered inside slices of
     equal degree, and each slice's offset comes from the counts of
-    vertices by degree and slice (ids in ``slices`` ranges), which are few.
+    vertices by degree and slice, which are few. Slices are ranges of ids, as many as the vertices need.
     """
     d = degree(edges).withColumn("owner", F.pmod("v", F.lit(owners)).cast("int"))
-    ends = d.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    ends = d.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.greatest(F.lit(LEAST_SLICES), F.expr(f"count(1) div {SLICE_IDS}")).alias("slices"))
     d = d.join(F.broadcast(ends))  # one row
-    d = d.withColumn("slice", F.expr(f"CAST((v - lo) * {slices} / (hi - lo + 1) AS INT)")).drop("lo", "hi")
+    d = d.withColumn("slice", F.expr("CAST(CAST(v - lo AS DOUBLE) * slices / (hi - lo + 1) AS INT)")).drop("lo", "hi", "slices")
     counts = d.groupBy("owner", "degree", "slice").agg(F.count(F.lit(1)).alias("n"))
     before = counts.withColumn(
         "before",
@@ -97,27 +100,41 @@ def skew_stats(edges: DataFrame, parts: int) -> DataFrame:
     )
 
 
+#: A vertex with more edges has them in several buckets.
+HUB = 100_000
+
+
 @dataclass
 class Graph:
-    """adj(src, dst, dst_degree) and vertices(v, degree) as tables, with their counts."""
+    """adj(src, slot, dst, dst_degree) and vertices(v, degree) as tables, with their counts.
+
+    adj is symmetric, so src stands for either end. It lies in buckets of (src, slot): a step joins it by key
+    without dealing it out again. slot cuts a hub's edges into pieces of about ``hub``.
+    """
 
     edges: DataFrame
     adj: DataFrame
     vertices: DataFrame
     num_edges: int
     num_vertices: int
+    degree_sum: int = 0
+    hub: int = HUB
+
+    def pieces(self, rows: DataFrame, v: str = "v") -> DataFrame:
+        """rows with src (their column v) and slot, once for each piece of the vertex's edges; rows have the vertex's degree."""
+        last = F.greatest(F.lit(0), F.ceil(F.col("degree") / self.hub).cast("int") - 1)
+        return rows.withColumns({"src": F.col(v), "slot": F.explode(F.sequence(F.lit(0), last))})
 
 
-def build_graph(edges: DataFrame, parts: int | None = None) -> Graph:
-    """Degrees with duplicates; edges without. adj is dealt by src and sorted, so that a level reads it by key."""
+def build_graph(edges: DataFrame, parts: int | None = None, hub: int = HUB) -> Graph:
+    """Degrees with duplicates; edges without."""
     rows = F.count(F.lit(1))
-    vertices, nodes = materialize_counted(degree(edges), n=rows)
+    vertices, nodes = materialize_counted(degree(edges), n=rows, degrees=F.coalesce(F.sum("degree"), F.lit(0)))
     pairs = E.dedup(E.symmetrize(edges))
     deg = vertices.select(F.col("v").alias("dst"), F.col("degree").alias("dst_degree"))
+    hubs = vertices.where(F.col("degree") > hub).select(F.col("v").alias("src"), F.ceil(F.col("degree") / hub).alias("slots"))
+    slot = F.pmod(F.xxhash64("dst"), F.coalesce("slots", F.lit(1).cast("long"))).cast("int").alias("slot")
+    wide = pairs.join(deg, "dst").join(hubs, "src", "left").select("src", slot, "dst", "dst_degree")
     n = parts or int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = pairs.join(deg, "dst").select("src", "dst", "dst_degree").repartition(n, "src").sortWithinPartitions("src", "dst")
-    adj, arcs = materialize_counted(dealt, n=rows)
-    return Graph(edges, adj, vertices, arcs["n"], nodes["n"])
-
-
-__all__ = [n for n in dir() if not n.startswith("_")] + ["bits"]
+    adj = materialize_bucketed(wide, ["src", "slot"], ["src", "slot", "dst"], n)
+    return Graph(edges, adj, vertices, adj.count(), nodes["n"], nodes["degrees"], hub)

@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import bits
 from ..sources import rng
 from .graph import Graph
 
@@ -53,5 +52,3 @@ def roots_frame(graph: Graph, count: int, offset: tuple[int, int] = (0, 0)) -> D
     rows = list(enumerate(sample_roots(graph, count, offset)))
     return graph.adj.sparkSession.createDataFrame(rows, "idx int, root long")
 
-
-__all__ = ["SEEDS", "bits", "roots_frame", "sample_deep_roots", "sample_roots"]

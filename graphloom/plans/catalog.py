@@ -194,7 +194,7 @@ def part_root(spark, d) -> int:
 
 def traverse(spark, d, edges: DataFrame, roots, forced: str | None = None):
     graph = G.build_graph(edges)
-    policy = DirectionPolicy(graph.num_edges, graph.num_vertices, max(1.0, graph.num_edges / 2 / max(1, graph.num_vertices)), forced=forced)
+    policy = DirectionPolicy(graph.num_edges, graph.num_vertices, forced=forced, by_work=graph.degree_sum)
     return graph, B.bfs(graph, roots, policy)
 
 

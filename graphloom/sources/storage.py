@@ -37,10 +37,25 @@ def materialize_counted(df: DataFrame, **figures: Column) -> tuple[DataFrame, di
     return out, seen.get
 
 
+def materialize_bucketed(df: DataFrame, keys: list[str], order: list[str], buckets: int) -> DataFrame:
+    """Write df in buckets of keys, sorted inside each, and read it as a table that knows so: joins on keys don't deal it out again."""
+    spark = df.sparkSession
+    name = f"bucketed_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    # Dealt like the buckets, each bucket is one file.
+    dealt = df.repartition(buckets, *keys)
+    dealt.write.bucketBy(buckets, *keys).sortBy(*order).option("path", path).format("parquet").saveAsTable(name)
+    out = spark.table(name)
+    out._graphloom_path, out._graphloom_table = path, name
+    return out
+
+
 def discard(df: DataFrame | None) -> None:
-    """Delete a table made by materialize() that nothing reads any more."""
+    """Delete a table made by materialize() or materialize_bucketed() that nothing reads any more."""
     path = getattr(df, "_graphloom_path", None)
     if path:
         spark = df.sparkSession
+        if getattr(df, "_graphloom_table", None):
+            spark.sql(f"DROP TABLE IF EXISTS {df._graphloom_table}")
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -75,6 +75,52 @@ def test_peel_rounds(spark):
     assert {(r.v, r.parent) for r in pruned.parents.collect()} == {(5, 4), (4, 3), (3, 2)}
 
 
+@pytest.mark.parametrize("forced", ["top_down", "bottom_up"])
+def test_hubs_in_several_buckets(spark, forced):
+    pairs = GRAPHS["star"] + GRAPHS["random"]
+    graph = G.build_graph(frame(spark, pairs), hub=3)
+    assert graph.adj.where("src = 0").select("slot").distinct().count() > 1
+    t = B.bfs(graph, [0, 1], DirectionPolicy(graph.num_edges, graph.num_vertices, forced=forced))
+    for root in (0, 1):
+        assert {r.v: (r.pred, r.level) for r in t.rows.where(f"root = {root}").collect()} == plain_bfs(pairs, root)
+
+
+@pytest.mark.parametrize("step", ["top_down", "bottom_up"])
+def test_steps_read_edges_in_their_buckets(spark, step):
+    """No exchange between the edge table and the first join, also where nothing is broadcast."""
+    graph = G.build_graph(frame(spark, GRAPHS["random"]))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        start = spark.createDataFrame([(0, 0, 0, 0, 5)], "root long, v long, pred long, level int, degree long")
+        if step == "top_down":
+            plan = B.top_down_step(graph, start, start)
+        else:
+            plan = B.bottom_up_step(graph, start, B.unreached_vertices(graph, start, [0]))
+        lines = plan._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    scan = next(i for i, line in enumerate(lines) if "SelectedBucketsCount" in line)
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    above, at = [], depth(lines[scan])
+    for line in reversed(lines[:scan]):  # the scan's ancestors
+        if depth(line) < at:
+            above.append(line)
+            at = depth(line)
+    first_join = next(i for i, line in enumerate(above) if "Join" in line)
+    assert not any("Exchange" in line for line in above[: first_join + 1])
+
+
+def test_policy_by_work():
+    p = DirectionPolicy(0, 0, by_work=1000)
+    p.advance(5, 100)
+    assert p.direction() == "top_down"
+    p.advance(50, 760)
+    assert p.direction() == "bottom_up"
+    p.advance(2, 10)
+    assert p.direction() == "top_down"
+
+
 def test_root_without_edges_and_no_roots(spark):
     graph = G.build_graph(frame(spark, GRAPHS["path"]))
     assert [tuple(r) for r in B.bfs(graph, [99]).rows.collect()] == [(99, 99, 99, 0)]
