@@ -15,7 +15,7 @@ from ..operators import prune, validate
 from ..operators.roots import roots_frame
 from ..sources import generators, tables
 from ..sources.storage import materialize
-from . import stats
+from . import stats, stream_sql
 from .policy import DirectionPolicy
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -428,14 +428,26 @@ def depth_rebuild(spark, d):
     return prune.pruned_bfs(prune.prune_trees(E.symmetrize(tables.geography(spark, d))), _geo_root(spark, d)).select("v", "level")
 
 
-@query()
+_PARENTS = " UNION ALL ".join(f"SELECT v, parent, round FROM p{k}" for k in range(1, 7))
+
+
+@query(
+    _peel_sql(6).replace("WITH ", "WITH RECURSIVE ", 1)
+    + f", pp AS MATERIALIZED ({_PARENTS}), w AS (SELECT 0 AS step, min(o_orderkey) + {tables.ORDER} AS v FROM orders UNION ALL SELECT step + 1, parent FROM w JOIN pp USING (v)) SELECT step, v FROM w"
+)
 def core_root_path(spark, d):
     pruned = prune.prune_trees(E.symmetrize(_hung(spark, d)))
     root = spark.read.parquet(f"{d}/orders.parquet").agg(F.min("o_orderkey")).first()[0] + tables.ORDER
     return spark.createDataFrame(list(enumerate(prune.path_to_core(pruned, root))), "step int, v long")
 
 
-@query()
+@query(
+    _peel_sql(6).replace("WITH ", "WITH RECURSIVE ", 1)
+    + f", pp AS MATERIALIZED ({_PARENTS}), top AS (SELECT src AS v FROM g6 GROUP BY src ORDER BY count(*) DESC, src LIMIT 1), "
+    "reach AS (SELECT v FROM top UNION SELECT dst FROM g6 JOIN reach ON src = v), "
+    "hang AS (SELECT v, parent, round FROM pp WHERE parent IN (SELECT v FROM reach) UNION SELECT pp.v, pp.parent, pp.round FROM pp JOIN hang ON pp.parent = hang.v) "
+    "SELECT v, parent, round FROM hang"
+)
 def reachable_parents(spark, d):
     return prune.reachable_parents(prune.prune_trees(E.symmetrize(_hung(spark, d))))
 
@@ -443,39 +455,44 @@ def reachable_parents(spark, d):
 # Generators
 
 
-@query()
+@query(stream_sql.rmat(12))
 def rmat_edges(spark, d):
     return generators.rmat_edges(spark, 12)
 
 
-@query()
+@query(stream_sql.rmat_tree_weighted(10))
 def rmat_edges_weighted(spark, d):
     return generators.rmat_edges(spark, 10, 16, generators.TREE_WEIGHTED)
 
 
-@query()
+@query(stream_sql.uniform(12))
 def uniform_edges(spark, d):
     return generators.uniform_edges(spark, 12)
 
 
-@query()
+@query(stream_sql.tree(12))
 def binary_tree_edges(spark, d):
     return generators.binary_tree_edges(spark, 12)
 
 
-@query()
+@query(stream_sql.cycle(12))
 def cycle_edges(spark, d):
     return generators.cycle_edges(spark, 12)
 
 
-@query()
+# The first keys of the stream in that graph.
+@query("SELECT CAST(unnest(range(8)) AS INTEGER) AS idx, CAST(unnest([458, 214, 220, 966, 395, 9, 848, 777]) AS BIGINT) AS root")
 def roots(spark, d):
     return roots_frame(G.build_graph(generators.rmat_edges(spark, 10)), 8)
 
 
-@query(
-    "SELECT 0 AS level, CAST(1 AS BIGINT) AS n UNION ALL SELECT 1, 8 UNION ALL SELECT 2, 500 UNION ALL SELECT 3, 380 UNION ALL SELECT 4, 8"
-)
+def _rmat_bfs_sql() -> str:
+    e = "e AS MATERIALIZED (SELECT a.w AS v0, c.w AS v1 FROM rm JOIN sc a ON x = a.v JOIN sc c ON y = c.v)"
+    rest = bfs_sql("ps", "SELECT CAST(458 AS BIGINT) AS r", 7).split("), s AS (", 1)[1]
+    return f"WITH RECURSIVE {stream_sql.rmat_ctes(10)}, {e}, s AS ({rest} SELECT level, count(*) AS n FROM b GROUP BY level"
+
+
+@query(_rmat_bfs_sql())
 def rmat_bfs(spark, d):
     t = B.bfs(G.build_graph(generators.rmat_edges(spark, 10)), [458])
     return B.level_hist(t.rows).select("level", "n")
