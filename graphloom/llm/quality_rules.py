@@ -163,7 +163,8 @@ def filter_stage(docs: DataFrame) -> DataFrame:
     wide = docs.select(F.struct(*[docs[c] for c in names]).alias("doc"), docs["text"].alias("text"), docs["source"].alias("source"))
     measured = measure(wide).drop("text").withColumn("doc", F.when(~base_failed(), F.col("doc")))
     measured = common.materialize(measured)
-    kept = verdicts(measured, host_rates(measured)).where("kept")
+    # Written, the rates' size is known, and few hosts are broadcast.
+    kept = verdicts(measured, common.materialize(host_rates(measured))).where("kept")
     return kept.select(*[F.col("doc")[c].alias(c) for c in names])
 
 

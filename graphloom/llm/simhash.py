@@ -23,7 +23,9 @@ large-star and small-star steps on the cluster.
 
 The pipeline's stage has another rule: texts whose sets of five-word shingles
 have a Jaccard index of 0.8 or more. Two such sets share one of the hashes that come first in a fixed
-order (a prefix of a fifth), so sets are dealt out by the hashes of their prefixes. Where
+order (a prefix of a fifth), so sets are dealt out by the hashes of their prefixes. The
+order is by value, but hashes that are frequent in a sample of the texts come last, so that passages that many
+documents share don't bring these together. (Any order loses no pair; the sample only bears on the work.) Where
 sets meet, the Hamming budget prunes: SimHash fingerprints of such sets differ in some
 10 bits of 64 on average, and pairs over ``NEAR_BITS`` = 24 are dropped (sets of under ``FEW`` shingles, whose
 bits say less, are all kept). All others are verified on their texts. This is done in two rounds, so that a group of
@@ -50,6 +52,10 @@ from . import common
 SHINGLE, SEED, ERRORS = 4, 42, 4
 #: The pipeline's stage: words of a shingle, bits that may differ, and shingles of a set that is too small for that test.
 WORDS, NEAR_BITS, FEW = 5, 24, 40
+#: One text in COUNTED is sampled for frequent shingles; those of OFTEN texts or more are, but no more than MOST_FREQUENT.
+COUNTED, OFTEN, MOST_FREQUENT = 16, 3, 1_000_000
+#: As many ids of texts to be verified are broadcast (8 MB); more are joined by a shuffle.
+FEW_IDS = 1_000_000
 #: Sets that meet at one hash and are compared in one task; more are cut into pieces, and each pair of pieces is a cell.
 MEET_ROWS = 20_000
 #: Width of the blocks, from the highest bit down.
@@ -376,14 +382,41 @@ def _name(grams: np.ndarray) -> int:
     return _signed(xxh64_intdigest(grams.tobytes(), SEED))
 
 
-def gram_sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (hash of the whole set of shingles), n (its size), sim (its SimHash) and prefix (its least hashes, a fifth) of each row."""
+def frequent_grams(df: DataFrame, text_col: str = "text") -> np.ndarray:
+    """Sorted hashes of shingles that many texts share, from a sample of different texts; at most MOST_FREQUENT reach the driver."""
+    some = df.select(df[text_col].cast("string").alias("text"))
+    some = some.where(F.pmod(F.xxhash64("text"), F.lit(COUNTED)) == 0).distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashed = _WordHashes()
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(grams(t, hashed))], ["h"])
+
+    counts = some.mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= OFTEN)
+    top = counts.orderBy(F.desc("count"), "h").limit(MOST_FREQUENT).select("h").toArrow()
+    return np.sort(top.column(0).to_numpy())
+
+
+def prefix(grams: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """The first n - ceil(0.8 n) + 1 of n hashes, frequent ones last."""
+    n = len(grams)
+    if len(frequent) and n:
+        late = frequent[np.minimum(np.searchsorted(frequent, grams), len(frequent) - 1)] == grams
+        grams = np.concatenate([grams[~late], grams[late]])
+    return grams[: n - (4 * n + 4) // 5 + 1]
+
+
+def gram_sets(df: DataFrame, frequent: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fp (hash of the whole set of shingles), n (its size), sim (its SimHash) and prefix of each row."""
+    # At most 8 MB.
+    shared = df.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed = _WordHashes()
         for b in batches:
             sets = [grams(t, hashed) for t in b.column(1).to_pylist()]
-            heads = [g[: len(g) - (4 * len(g) + 4) // 5 + 1] for g in sets]  # n - ceil(0.8 n) + 1
+            heads = [prefix(g, shared.value) for g in sets]
             ends = np.cumsum([0, *map(len, heads)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(heads) if heads else np.array([], np.int64)))
             cols = [pa.array([f(g) for g in sets], pa.int64()) for f in (_name, len, majority)]
@@ -393,32 +426,36 @@ def gram_sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return rows.mapInArrow(run, "doc_id long, fp long, n long, sim long, prefix array<long>")
 
 
-def _close(n: np.ndarray, sim: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Which pairs of places may be similar, by sizes and bits."""
-    low, high = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-    return (5 * low >= 4 * high) & ((low < FEW) | (np.bitwise_count((sim[i] ^ sim[j]).view(np.uint64)) <= NEAR_BITS))
+def meetings(rows: DataFrame, parts: int) -> DataFrame:
+    """h, fp: the different sets that meet others at a prefix hash. rows(fp, prefix) may repeat sets; a task sends each once."""
 
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
+        for b in batches:
+            fp = b.column(0).to_numpy()
+            new = np.array([x not in seen and not seen.add(x) for x in fp.tolist()], bool)
+            lists = b.column(1).filter(pa.array(new))
+            yield pa.RecordBatch.from_arrays([lists.flatten(), pa.array(np.repeat(fp[new], lists.value_lengths().to_numpy()))], ["h", "fp"])
 
-def meetings(sets: DataFrame, parts: int) -> DataFrame:
-    """h, n, fp, sim: the sets that meet others at a prefix hash; sets(fp, n, sim, prefix) are different."""
-    rows = sets.select("n", "fp", "sim", F.explode("prefix").alias("h")).select("h", "n", "fp", "sim")
-    dealt = rows.repartition(parts, "h").sortWithinPartitions("h", "n", "fp")
+    dealt = rows.select("fp", "prefix").mapInArrow(spread, "h long, fp long").repartition(parts, "h").sortWithinPartitions("h", "fp")
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows whose hash the row before or after has too; the last row of a batch waits for the next."""
-        last, met = None, False
+        """Rows, without repeats, whose hash the row before or after has too; the last row of a batch waits for the next."""
+        last, met = np.zeros((0, 2), np.int64), False
         for b in batches:
-            if last is not None:
-                b = pa.Table.from_batches([last, b]).combine_chunks().to_batches()[0]
-            h = b.column(0).to_numpy()
-            same = h[1:] == h[:-1]
-            both = np.append(met if last is not None else False, same) | np.append(same, False)
-            yield b.slice(0, len(h) - 1).filter(pa.array(both[:-1]))
-            last, met = b.slice(len(h) - 1), bool(both[-1])
-        if last is not None and met:
-            yield last
+            x = np.concatenate([last, np.stack([c.to_numpy() for c in b.columns], 1)])
+            x = x[np.append(True, (x[1:] != x[:-1]).any(axis=1))] if len(x) else x
+            if not len(x):
+                continue
+            same = x[1:, 0] == x[:-1, 0]
+            both = np.append(met and len(last) > 0, same) | np.append(same, False)
+            kept = x[:-1][both[:-1]]
+            yield pa.RecordBatch.from_arrays([pa.array(kept[:, 0].copy()), pa.array(kept[:, 1].copy())], ["h", "fp"])
+            last, met = x[-1:], bool(both[-1])
+        if met:
+            yield pa.RecordBatch.from_arrays([pa.array(last[:, 0].copy()), pa.array(last[:, 1].copy())], ["h", "fp"])
 
-    return dealt.mapInArrow(shared, "h long, n long, fp long, sim long")
+    return dealt.mapInArrow(shared, "h long, fp long")
 
 
 def first_pairs(met: DataFrame, parts: int) -> DataFrame:
@@ -454,16 +491,22 @@ def other_pairs(met: DataFrame, roots: DataFrame, parts: int, meet_rows: int = M
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for fp, n, sim, root, _, _, _, side in _by_cell(batches, slice(4, 7)):
             cut, found = side.any() and not side.all(), []
-            for lo in range(0, len(fp), 512):  # by size, so that no larger one than 1.25 times the last is compared
-                i = np.arange(lo, min(lo + 512, len(fp)))
-                j = np.arange(lo, np.searchsorted(4 * n, 5 * n[i[-1]], "right"))
-                x, y = (z.ravel() for z in np.meshgrid(i, j, indexing="ij"))
-                ok = (x < y) & (root[x] != root[y])
+            # Of any pair to be compared at least one set is outside the largest group.
+            names, of = np.unique(root, return_inverse=True)
+            outside = np.flatnonzero(of != np.bincount(of).argmax())
+            for lo in range(0, len(outside), 256):
+                i = outside[lo : lo + 256]
+                near = slice(np.searchsorted(5 * n, 4 * n[i[0]], "left"), np.searchsorted(4 * n, 5 * n[i[-1]], "right"))
+                j = np.arange(near.start, near.stop)
+                ok = (of[i][:, None] != of[None, j]) & (5 * n[i][:, None] >= 4 * n[None, j]) & (5 * n[None, j] >= 4 * n[i][:, None])
                 if cut:
-                    ok &= side[x] != side[y]
-                x, y = x[ok], y[ok]
-                ok = _close(n, sim, x, y)
-                found.append(np.stack([fp[x[ok]], fp[y[ok]]], 1))
+                    ok &= side[i][:, None] != side[None, j]
+                small = np.minimum(n[i][:, None], n[None, j]) < FEW
+                ok &= small | (np.bitwise_count((sim[i][:, None] ^ sim[None, j]).view(np.uint64)) <= NEAR_BITS)
+                x, y = np.nonzero(ok)
+                found.append(np.stack([fp[i[x]], fp[j[y]]], 1))
+            if not found:
+                continue
             pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
             if len(pairs):
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
@@ -474,7 +517,9 @@ def other_pairs(met: DataFrame, roots: DataFrame, parts: int, meet_rows: int = M
 def verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of pairs(a, b) whose texts have a Jaccard index of at least 0.8. sets(fp, least): an id with each set; texts(doc_id, text)."""
     need = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    ids = sets.join(need, "fp", "left_semi").select(F.col("least").alias("id")).distinct()
+    ids = common.materialize(sets.join(need, "fp", "left_semi").select(F.col("least").alias("id")).distinct())
+    if ids.count() <= FEW_IDS:
+        ids = F.broadcast(ids)
     held = texts.join(ids, texts["doc_id"].eqNullSafe(ids["id"]), "left_semi")
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -506,11 +551,10 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """doc_id, fp (of the set of shingles) and component_id (the least doc_id that links of a Jaccard index of 0.8 reach) of each row."""
     parts = common.partitions(df.sparkSession)
     texts = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text"))
-    rows = common.materialize(gram_sets(texts))
-    # One row of each set; ids that are missing come last.
-    some = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "n", "sim", "prefix")).alias("s")
-    sets = common.materialize(rows.groupBy("fp").agg(some).select("fp", F.col("s.doc_id").alias("least"), "s.n", "s.sim", "s.prefix"))
-    met = common.materialize(meetings(sets.where("n > 0"), parts))
+    rows = common.materialize(gram_sets(texts, frequent_grams(texts)))
+    sets = common.materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("n").alias("n"), F.min("sim").alias("sim")))
+    met = common.materialize(meetings(rows.where("n > 0"), parts))
+    met = common.materialize(met.join(sets.select("fp", "n", "sim"), "fp").select("h", "n", "fp", "sim"))
     near = verified(common.materialize(first_pairs(met, parts)), sets, texts)
     more = common.materialize(other_pairs(met, star_components(near), parts))
     edges = near.unionByName(verified(more, sets, texts))
