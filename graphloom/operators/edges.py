@@ -33,13 +33,14 @@ def dedup_stats(edges: DataFrame) -> DataFrame:
 
 
 def id_stats(edges: DataFrame) -> DataFrame:
-    """all_bits (or of all ids) and scale (bits that all ids fit in)."""
-    out = edges.agg(F.coalesce(F.expr("bit_or(v0 | v1)"), F.lit(0).cast("long")).alias("all_bits"))
+    """all_bits (or of all ids) and scale (bits that all ids fit in), and max_weight if edges have weights."""
+    most = [F.max("weight").alias("max_weight")] if "weight" in edges.columns else []
+    out = edges.agg(F.coalesce(F.expr("bit_or(v0 | v1)"), F.lit(0).cast("long")).alias("all_bits"), *most)
     return out.withColumn("scale", bits.top_bit("all_bits") + 1)
 
 
 def deal_by_grid(edges: DataFrame, rows: int, cols: int) -> DataFrame:
-    """Edges dealt to a grid of parts, as a means of speed only."""
+    """Edges, with weights if they have them, dealt to a grid of parts, as a means of speed only."""
     return edges.repartition(rows * cols, bits.owner_row("v0", rows), bits.owner_col("v1", rows, cols))
 
 

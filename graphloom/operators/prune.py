@@ -65,14 +65,27 @@ def core_graph(pruned: Pruned) -> Graph:
     return build_graph(one)
 
 
+#: Rounds that one plan follows a path through.
+HOPS = 32
+
+
 def path_to_core(pruned: Pruned, root: int) -> list[int]:
-    """Vertices from a root along parents to a vertex that wasn't pruned; as long as the tree is deep at most."""
+    """Vertices from a root along parents to a vertex that wasn't pruned. A parent goes in a later round or stays, so each round adds one vertex at most."""
     path = [root]
-    while True:
-        row = pruned.parents.where(F.col("v") == path[-1]).select("parent").first()
-        if row is None:
-            return path
-        path.append(row["parent"])
+    for first in range(1, pruned.rounds + 1, HOPS):
+        at = pruned.core.sparkSession.createDataFrame([(path[-1], [])], "at long, path array<long>")  # one row
+        for r in range(first, min(first + HOPS, pruned.rounds + 1)):
+            hop = pruned.parents.where(F.col("round") == r).select(F.col("v").alias("at"), "parent")
+            at = hop.join(F.broadcast(at), "at", "right").select(
+                F.coalesce("parent", "at").alias("at"), F.when(F.col("parent").isNull(), F.col("path")).otherwise(F.array_append("path", F.col("parent"))).alias("path")
+            )
+        path += at.first()["path"]
+    return path
+
+
+def contains_parent(pruned: Pruned, vertices: DataFrame, v: str = "v") -> DataFrame:
+    """The vertices that were pruned; as they have edges, they may be search keys too."""
+    return vertices.join(pruned.parents.select(F.col("v").alias(v)), v, "left_semi")
 
 
 def pruned_bfs(pruned: Pruned, root: int, policy: DirectionPolicy | None = None) -> DataFrame:

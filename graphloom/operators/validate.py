@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.storage import discard, materialize, materialize_counted
+
 RULES = ("v_range", "v_root_range", "v_root_parent", "v_self_parent", "v_depth", "v_boundary", "v_level_gap", "v_pred_depth", "v_tree_edge")
 
 
@@ -47,6 +49,32 @@ def validate(edges: DataFrame, rows: DataFrame, root: int) -> DataFrame:
     return one.select(F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("violations")) for r in RULES])).alias("r")).select("r.*")
 
 
+def rebuilt_levels(rows: DataFrame, root: int) -> DataFrame:
+    """v, rebuilt: each vertex's distance from the root along parents, null where they don't lead there.
+
+    Pointers double in each round, so there are as many rounds as the depth has bits.
+    """
+    at = materialize(rows.select("v", F.when(F.col("v") == root, F.col("v")).otherwise(F.col("pred")).alias("up"), F.when(F.col("v") == root, 0).otherwise(1).alias("hops")))
+    left = None
+    while True:
+        up = at.select(F.col("v").alias("up"), F.col("up").alias("up2"), F.col("hops").alias("hops2"))
+        far = at.join(up, "up", "left").select("v", F.coalesce("up2", "up").alias("up"), F.when(F.col("up") == root, F.col("hops")).otherwise(F.col("hops") + F.coalesce("hops2", F.lit(0))).alias("hops"))
+        nxt, seen = materialize_counted(far, left=F.count(F.when(F.col("up") != root, 1)))
+        discard(at)
+        at = nxt
+        # What leads nowhere stays; a cycle never ends, but no path is longer than there are vertices.
+        if not seen["left"] or seen["left"] == left:
+            return at.select("v", F.when(F.col("up") == root, F.col("hops")).alias("rebuilt"))
+        left = seen["left"]
+
+
+def level_mismatches(rows: DataFrame, root: int) -> DataFrame:
+    """mismatches: vertices whose level isn't their distance from the root along parents."""
+    rows = rows.select("v", "pred", "level")
+    both = rows.join(rebuilt_levels(rows, root), "v")
+    return both.agg(F.count(F.when(~F.col("level").eqNullSafe(F.col("rebuilt")), 1)).alias("mismatches"))
+
+
 def edge_visit_count(edges: DataFrame, rows: DataFrame) -> DataFrame:
     """Raw edges whose source is reached, without those that cross the boundary or skip a level."""
     view = edge_view(edges, rows.select("v", "pred", "level"))

@@ -360,6 +360,28 @@ def validate_rules_broken(spark, d):
     return validate.validate(*_validated(spark, d, True))
 
 
+def _mismatch_sql(rows: str) -> str:
+    walk = f"w AS (SELECT v, 0 AS n FROM t WHERE v = ({PART_ROOT}) UNION SELECT t.v, n + 1 FROM w JOIN t ON t.pred = w.v WHERE t.v <> ({PART_ROOT}) AND n < 20)"
+    return f"{PS_BFS.replace('WITH', 'WITH RECURSIVE', 1)}, t AS MATERIALIZED ({rows}), {walk} SELECT count(*) FILTER (w.n IS DISTINCT FROM t.level) AS mismatches FROM t LEFT JOIN w USING (v)"
+
+
+@query(_mismatch_sql("SELECT * FROM b"))
+def level_mismatches(spark, d):
+    return validate.level_mismatches(*_validated(spark, d, False)[1:])
+
+
+@query(_mismatch_sql(_BAD_SQL))
+def level_mismatches_broken(spark, d):
+    return validate.level_mismatches(*_validated(spark, d, True)[1:])
+
+
+@query(f"WITH {edges_sql('ps')} SELECT v0 % 2 + (v1 // 2) % 3 * 2 AS owner, count(*) AS n, CAST(sum(v0 % 7) AS BIGINT) AS weights, max(v0 % 7) AS max_weight FROM e GROUP BY owner")
+def weighted_grid(spark, d):
+    e = tables.part_supplier(spark, d).withColumn("weight", F.col("v0") % 7)
+    dealt = E.deal_by_grid(e, 2, 3).withColumn("owner", bits.edge_owner("v0", "v1", 2, 3).cast("long"))
+    return dealt.groupBy("owner").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weights"), F.max("weight").alias("max_weight"))
+
+
 _VISITS = "SELECT count(*) AS visited_edges FROM e LEFT JOIN t a ON v0 = a.v LEFT JOIN t c ON v1 = c.v WHERE a.v IS NOT NULL AND c.v IS NOT NULL AND abs(a.level - c.level) <= 1"
 
 

@@ -1,4 +1,5 @@
 import random
+import struct
 
 import pytest
 
@@ -8,7 +9,7 @@ from graphloom.operators import graph as G
 from graphloom.operators import prune, validate
 from graphloom.plans import stats
 from graphloom.plans.policy import DirectionPolicy
-from graphloom.plans.run import options
+from graphloom.plans.run import options, register_views, report, run, seed_trials
 from graphloom.plans.tuning import Tuner
 
 
@@ -170,12 +171,52 @@ def test_order_stats(spark, n):
 
 
 def test_log(spark, tmp_path):
-    stats.write_log(spark, str(tmp_path / "log"), 4, 16, 2, 1.0, 2.0, [(0.5, 0.1, 256)])
-    assert stats.read_log(spark, str(tmp_path / "log"), 4, 16) == [(0.5, 0.1, 256)]
+    log = str(tmp_path / "log")
+    assert stats.finished_runs(spark, log, 4, 16) == {}
+    stats.append_run(spark, log, 4, 16, 2, 1, 7, 0.5, 0.1, 256)
+    stats.append_run(spark, log, 4, 16, 2, 0, 3, 0.25, 0.2, 256)
+    assert stats.finished_runs(spark, log, 4, 16) == {0: (3, 0.25, 0.2, 256), 1: (7, 0.5, 0.1, 256)}
     with pytest.raises(ValueError):
-        stats.read_log(spark, str(tmp_path / "log"), 5, 16)
+        stats.finished_runs(spark, log, 5, 16)
     runs = spark.createDataFrame([(0, 1.0), (2, 1.0)], "idx int, bfs_time double")
     assert stats.check_log(runs) == {"runs": 2, "repeated": 0, "partial": True}
+    with pytest.raises(ValueError):
+        stats.complete_log(runs.unionByName(runs))
+
+
+@pytest.mark.parametrize("order", "<>")
+def test_binary_log(order):
+    data = struct.pack(order + "4i3d", 10, 16, 4, 2, 1.5, 2.5, 0.5) + struct.pack(order + "2dq", 0.25, 0.5, 99) * 2 + bytes(24 * 62)
+    log = stats.read_binary_log(data)
+    assert (log["scale"], log["parts"], log["construction_time"], log["times"]) == (10, 4, 2.5, [(0.25, 0.5, 99)] * 2)
+
+
+def test_run_goes_on_after_its_log(spark, tmp_path, capsys):
+    log = str(tmp_path / "log")
+    whole = run(spark, options(["4", "-n", "3", "--log", log]))
+    assert whole["ok"] and len(whole["times"]) == 3 and {n for _, _, n in whole["times"]} == {256}
+    again = run(spark, options(["4", "-n", "4", "--log", log]))
+    assert again["times"][:3] == whole["times"] and again["keys"][:3] == whole["keys"]
+    part = run(spark, options(["4", "-n", "4", "-s", "2", "-C", "-P"]))
+    assert part["keys"] == again["keys"] and len(part["times"]) == 2 and part["ok"]
+    assert any("median_teps" in line for line in report(spark, part))
+    assert "traversal: 1 times" in capsys.readouterr().out
+
+
+def test_seed_trials():
+    assert seed_trials(3)[0] == 0 and all(0 <= s < 1 << 24 for s in seed_trials(5)) and len(set(seed_trials(5))) == 5
+    assert options(["5", "-S", "-r", "7"]).seed_search and options(["5", "-r", "7"]).root_seed == 7
+    assert len(stats.VISITED) == 43 and stats.expected_edges(14, 16) == 262144 and stats.expected_edges(14, 8) is None
+
+
+def test_views_and_pruned_vertices(spark):
+    graph = G.build_graph(frame(spark, GRAPHS["tail"]))
+    t = B.bfs(graph, [0])
+    assert register_views(graph, t.rows, "g_") == ["g_edges", "g_adj", "g_vertices", "g_bfs"]
+    assert spark.sql("SELECT count(*) FROM g_bfs JOIN g_vertices USING (v)").first()[0] == 6
+    pruned = prune.prune_trees(E.symmetrize(frame(spark, GRAPHS["tail"])))
+    assert {r.v for r in prune.contains_parent(pruned, graph.vertices).collect()} == {3, 4, 5}
+    assert prune.path_to_core(pruned, 5) == [5, 4, 3, 2] and prune.path_to_core(pruned, 1) == [1]
 
 
 def test_policy_switches_once():
