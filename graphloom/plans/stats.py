@@ -8,27 +8,48 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Ranges that the values of a group are cut into.
+BINS = 1024
+
+
 def order_stats(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
-    """min, q1, median, q3, max, mean, std (sample) of value for each group.
+    """min, q1, median, q3, max, mean, std (sample) of value for each group; nulls are left out.
 
-    Quartiles are means of two places in the sorted values. Ranks come from a
-    window; only the (at most eight) ranked rows that matter reach the final sums.
+    Quartiles are means of two places in the sorted values. Equal values are counted before anything is
+    sorted. Places are made in two steps, inside ranges of values and over the counts of ranges, so no
+    window holds a group.
     """
     by = by or []
-    x = F.col(value).cast("double")
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    d = df.select(*by, x.alias("x"))
-    d = d.withColumns({"r": F.row_number().over(w.orderBy("x")) - 1, "n": F.count(F.lit(1)).over(w)})
-    at = lambda i: F.max(F.when(F.col("r") == F.expr(i), F.col("x")))
+    d = df.select(*by, F.col(value).cast("double").alias("x")).where("x IS NOT NULL")
+    ends = d.groupBy(*by).agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"))
+    counts = d.groupBy(*by, "x").agg(F.count(F.lit(1)).alias("c"))
+
+    def with_group(left, right, on):
+        """left with the columns of right where all of on are equal, nulls too."""
+        right = right.withColumnsRenamed({c: f"_{c}" for c in on})
+        same = F.lit(True)
+        for c in on:
+            same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+        return left.join(right, same).drop(*[f"_{c}" for c in on])
+
+    counts = with_group(counts, ends, by)
+    bin_ = F.when(F.col("hi") > F.col("lo"), F.least(F.lit(BINS - 1), F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BINS))).otherwise(0).cast("int")
+    counts = counts.withColumn("bin", bin_)
+    bins = counts.groupBy(*by, "bin").agg(F.sum("c").alias("in_bin"))  # BINS rows of a group at most
+    before = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bins = bins.withColumn("bins_before", before(Window.partitionBy(*by).orderBy("bin"), "in_bin"))
+    d = with_group(counts, bins, [*by, "bin"])
+    d = d.withColumn("first", F.col("bins_before") + before(Window.partitionBy(*by, "bin").orderBy("x"), "c"))
+    at = lambda i: F.max(F.when(F.expr(f"{i} BETWEEN first AND first + c - 1"), F.col("x")))
     mid = lambda i, j: (at(i) + at(j)) * 0.5
     return d.groupBy(*by).agg(
-        F.min("x").alias("minimum"),
+        F.min("lo").alias("minimum"),
         mid("(n - 1) div 4", "n div 4").alias("firstquartile"),
         mid("(n - 1) div 2", "n div 2").alias("median"),
         mid("n - 1 - (n - 1) div 4", "n - 1 - n div 4").alias("thirdquartile"),
-        F.max("x").alias("maximum"),
-        F.avg("x").alias("mean"),
-        F.stddev_samp("x").alias("std"),
+        F.max("hi").alias("maximum"),
+        F.max("mean").alias("mean"),
+        F.max("std").alias("std"),
     )
 
 
@@ -61,16 +82,17 @@ def parse_log(lines: DataFrame, by: list[str] | None = None) -> DataFrame:
     """idx, bfs_time, validate_time, edge_count from lines(line_no, line), by log if `by` names one.
 
     A time is taken from its long form in brackets if there is one. A triple
-    whose lines don't follow each other or don't agree has null figures.
+    whose lines don't follow each other or don't agree has null figures. Lines meet by their numbers.
     """
-    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy("line_no")
-    d = lines.withColumns({"second": F.lead("line").over(w), "third": F.lead("line", 2).over(w)})
-    d = d.where(F.col("line").rlike(TIME) & ~F.col("line").rlike("Validate"))
+    by = by or []
     get = lambda c, p, k: F.nullif(F.regexp_extract(c, p, k), F.lit(""))
+    kind = lambda p, step, name: lines.where(F.col("line").rlike(p)).select(*by, (F.col("line_no") - step).alias("line_no"), F.col("line").alias(name))
+    d = lines.where(F.col("line").rlike(TIME) & ~F.col("line").rlike("Validate")).select(*by, "line_no", "line")
+    d = d.join(kind(VALIDATE, 1, "second"), [*by, "line_no"], "left").join(kind(COUNT, 2, "third"), [*by, "line_no"], "left")
     idx = get("line", TIME, 1).cast("int")
     agrees = get("second", VALIDATE, 1).cast("int") == idx
     return d.select(
-        *(by or []),
+        *by,
         idx.alias("idx"),
         F.coalesce(get("line", TIME, 3), get("line", TIME, 2)).cast("double").alias("bfs_time"),
         F.when(agrees, get("second", VALIDATE, 2).cast("double")).alias("validate_time"),
