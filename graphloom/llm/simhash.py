@@ -58,6 +58,8 @@ COUNTED, OFTEN, MOST_FREQUENT = 16, 3, 1_000_000
 FEW_IDS = 1_000_000
 #: Sets that meet at one hash and are compared in one task; more are cut into pieces, and each pair of pieces is a cell.
 MEET_ROWS = 20_000
+#: Cells of so many rows at most are compared many at a time.
+SMALL = 32
 #: Width of the blocks, from the highest bit down.
 BLOCKS = (13, 13, 13, 13, 12)
 CELL_ROWS = 1_000_000
@@ -266,6 +268,22 @@ def _by_cell(batches: Iterator[pa.RecordBatch], keys: slice) -> Iterator[list[np
         yield [np.concatenate(x) for x in zip(*held)]
 
 
+def _whole_cells(batches: Iterator[pa.RecordBatch], keys: slice) -> Iterator[list[np.ndarray]]:
+    """Columns with as many whole runs of equal keys as a batch completes."""
+    held = None
+    for batch in batches:
+        cols = [c.to_numpy() for c in batch.columns]
+        cols = cols if held is None else [np.concatenate(x) for x in zip(held, cols)]
+        k = np.stack(cols[keys], 1)
+        edge = np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
+        cut = int(edge[-1]) if len(edge) else 0
+        if cut:
+            yield [c[:cut] for c in cols]
+        held = [c[cut:] for c in cols]
+    if held is not None and len(held[0]):
+        yield held
+
+
 def links(fps: DataFrame, parts: int, cell_rows: int = CELL_ROWS) -> DataFrame:
     """a, b: links that span the groups of the distinct fingerprints in fps.fp."""
     starts = F.explode(F.array(*[F.struct(F.lit(k).alias("turn"), F.lit(o).alias("bits")) for k, o in enumerate(OFFSETS)]))
@@ -488,27 +506,38 @@ def other_pairs(met: DataFrame, roots: DataFrame, parts: int, meet_rows: int = M
     rows = _cells(named.join(several, "h", "left_semi").select("fp", "n", "sim", "root", "h"), ["h"], meet_rows)
     dealt = rows.repartition(parts, "h", "i", "j").sortWithinPartitions("h", "i", "j", "n")
 
+    def similar(n, sim, root, i, j, side, x, y):
+        """Whether the sets at places x and y are to be compared; x and y are arrays that go together."""
+        ok = (root[x] != root[y]) & ((i[x] == j[x]) | (side[x] != side[y])) & (5 * n[x] >= 4 * n[y]) & (5 * n[y] >= 4 * n[x])
+        return ok & ((np.minimum(n[x], n[y]) < FEW) | (np.bitwise_count((sim[x] ^ sim[y]).view(np.uint64)) <= NEAR_BITS))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for fp, n, sim, root, _, _, _, side in _by_cell(batches, slice(4, 7)):
-            cut, found = side.any() and not side.all(), []
-            # Of any pair to be compared at least one set is outside the largest group.
-            names, of = np.unique(root, return_inverse=True)
-            outside = np.flatnonzero(of != np.bincount(of).argmax())
-            for lo in range(0, len(outside), 256):
-                i = outside[lo : lo + 256]
-                near = slice(np.searchsorted(5 * n, 4 * n[i[0]], "left"), np.searchsorted(4 * n, 5 * n[i[-1]], "right"))
-                j = np.arange(near.start, near.stop)
-                ok = (of[i][:, None] != of[None, j]) & (5 * n[i][:, None] >= 4 * n[None, j]) & (5 * n[None, j] >= 4 * n[i][:, None])
-                if cut:
-                    ok &= side[i][:, None] != side[None, j]
-                small = np.minimum(n[i][:, None], n[None, j]) < FEW
-                ok &= small | (np.bitwise_count((sim[i][:, None] ^ sim[None, j]).view(np.uint64)) <= NEAR_BITS)
-                x, y = np.nonzero(ok)
-                found.append(np.stack([fp[i[x]], fp[j[y]]], 1))
-            if not found:
-                continue
-            pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
-            if len(pairs):
+        for cells in _whole_cells(batches, slice(4, 7)):
+            fp, n, sim, root, h, i, j, side = cells
+            starts = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
+            sizes = np.diff(np.append(starts, len(h)))
+            cell, found = np.repeat(np.arange(len(starts)), sizes), []
+            small = np.flatnonzero(sizes[cell] <= SMALL)
+            for d in range(1, min(SMALL, len(small))):
+                x, y = small[:-d], small[d:]
+                same = cell[x] == cell[y]
+                if not same.any():
+                    break
+                x, y = x[same], y[same]
+                ok = similar(n, sim, root, i, j, side, x, y)
+                found.append((x[ok], y[ok]))
+            for lo, hi in zip(starts[sizes > SMALL].tolist(), (starts + sizes)[sizes > SMALL].tolist()):
+                # Of any pair to be compared at least one set is outside the largest group.
+                _, of = np.unique(root[lo:hi], return_inverse=True)
+                outside = lo + np.flatnonzero(of != np.bincount(of).argmax())
+                for k in range(0, len(outside), 256):  # by size, so that only neighbours in size are tried
+                    x = outside[k : k + 256]
+                    y = np.arange(lo + np.searchsorted(5 * n[lo:hi], 4 * n[x[0]], "left"), lo + np.searchsorted(4 * n[lo:hi], 5 * n[x[-1]], "right"))
+                    a, b = np.nonzero(similar(n, sim, root, i, j, side, x[:, None], y[None, :]))
+                    found.append((x[a], y[b]))
+            if found:
+                pairs = np.stack([np.concatenate([fp[x] for x, _ in found]), np.concatenate([fp[y] for _, y in found])], 1)
+                pairs = np.unique(np.sort(pairs, axis=1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
 
     return dealt.mapInArrow(run, "a long, b long").distinct()
