@@ -56,6 +56,8 @@ WORDS, NEAR_BITS, FEW = 5, 24, 40
 COUNTED, OFTEN, MOST_FREQUENT = 16, 3, 1_000_000
 #: As many ids of texts to be verified are broadcast (8 MB); more are joined by a shuffle.
 FEW_IDS = 1_000_000
+#: Shingles that a task keeps, so that a text in many pairs is read once.
+KNOWN_GRAMS = 4_000_000
 #: Sets that meet at one hash and are compared in one task; more are cut into pieces, and each pair of pieces is a cell.
 MEET_ROWS = 20_000
 #: Cells of so many rows at most are compared many at a time.
@@ -562,11 +564,17 @@ def verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
     both = both.join(held.select(F.col("fp").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed = _WordHashes()
+        hashed, known, size = _WordHashes(), {}, 0
         for b in batches:
             ok = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                x, y = grams(x, hashed), grams(y, hashed)
+            for i, j, x, y in zip(*[c.to_pylist() for c in b.columns]):
+                if size > KNOWN_GRAMS:
+                    known, size = {}, 0
+                for name, text in ((i, x), (j, y)):
+                    if name not in known:
+                        known[name] = grams(text, hashed)
+                        size += len(known[name])
+                x, y = known[i], known[j]
                 shared = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(5 * shared >= 4 * (len(x) + len(y) - shared))
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
