@@ -26,11 +26,11 @@ have a Jaccard index of 0.8 or more. Two such sets share one of the hashes that
 order (a prefix of a fifth), so sets are dealt out by the hashes of their prefixes. The
 order is by value, but hashes that are frequent in a sample of the texts come last, so that passages that many
 documents share don't bring these together. (Any order loses no pair; the sample only bears on the work.) Where
-sets meet, the Hamming budget prunes: SimHash fingerprints of such sets differ in some
-10 bits of 64 on average, and pairs over ``NEAR_BITS`` = 24 are dropped (sets of under ``FEW`` shingles, whose
-bits say less, are all kept). All others are verified on their texts. This is done in two rounds, so that a group of
-many near copies doesn't give all its pairs: first each set with the first one of its size that it
-meets at each hash; then, with the groups that this gives, all pairs that meet and are in different groups.
+sets meet, a Hamming budget prunes: of ``WIDE`` SimHash bits, such sets differ in some 15 % on average, and pairs over
+``WIDE_BITS`` are dropped (sets of under ``FEW`` shingles, whose bits say less, are all kept). A pair of index 0.8 is beyond
+it with a probability of 1e-17. No step gives all pairs: a cell returns candidates that span its groups, candidates that reach each
+other form a block, and the texts of a block go to one task (a block of over ``BLOCK_GRAMS`` shingles is cut like a cell), where all
+pairs that are not yet in one group are compared by their shingles and the links that span the groups are returned.
 
 Defined cases: null and empty texts have fingerprint zero and link like any
 other; copies and repeated rows share a fingerprint and so a group; a null
@@ -50,14 +50,17 @@ from pyspark.sql import functions as F
 from . import common
 
 SHINGLE, SEED, ERRORS = 4, 42, 4
-#: The pipeline's stage: words of a shingle, bits that may differ, and shingles of a set that is too small for that test.
+#: The pipeline's stage: words of a shingle, bits of ``sim`` that may differ in other_pairs, and shingles of a set that is too small for tests of bits.
 WORDS, NEAR_BITS, FEW = 5, 24, 40
+#: SimHash bits where sets meet, in columns of 64, and how many of them may differ.
+WIDE, WIDE_BITS = 256, 96
+SIMS = ["sim", *(f"sim{k}" for k in range(1, WIDE // 64))]
 #: One text in COUNTED is sampled for frequent shingles; those of OFTEN texts or more are, but no more than MOST_FREQUENT.
 COUNTED, OFTEN, MOST_FREQUENT = 16, 3, 1_000_000
 #: As many ids of texts to be verified are broadcast (8 MB); more are joined by a shuffle.
 FEW_IDS = 1_000_000
-#: Shingles that a task keeps, so that a text in many pairs is read once.
-KNOWN_GRAMS = 4_000_000
+#: Shingles of a block that are compared in one task; more are cut into pieces, and each pair of pieces is a cell.
+BLOCK_GRAMS = 1_000_000
 #: Sets that meet at one hash and are compared in one task; more are cut into pieces, and each pair of pieces is a cell.
 MEET_ROWS = 20_000
 #: Cells of so many rows at most are compared many at a time.
@@ -232,9 +235,9 @@ def _turn(values: np.ndarray, bits: int) -> np.ndarray:
 OFFSETS = [sum(BLOCKS[:k]) for k in range(len(BLOCKS))]
 
 
-def _cells(rows: DataFrame, keys: list[str], cell_rows: int) -> DataFrame:
-    """rows(fp, ...) with i, j, side: groups of equal keys with more rows are cut into pieces, and each row goes to the pairs of pieces that its own is in."""
-    big = rows.groupBy(*keys).count().where(F.col("count") > cell_rows)
+def _cells(rows: DataFrame, keys: list[str], cell_rows: int, weight: str | None = None) -> DataFrame:
+    """rows(fp, ...) with i, j, side: groups of equal keys with more rows (or more weight) are cut into pieces, and each row goes to the pairs of pieces that its own is in."""
+    big = rows.groupBy(*keys).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("count")).where(F.col("count") > cell_rows)
     big = big.select(*keys, F.ceil(F.col("count") / (cell_rows / 2)).cast("int").alias("pieces"))
     piece = F.pmod(F.xxhash64("fp"), F.col("pieces")).cast("int")
     cells = F.when(
@@ -396,6 +399,19 @@ def majority(grams: np.ndarray) -> int:
     return _signed(int.from_bytes(np.packbits(2 * ones > len(grams)).tobytes(), "big"))
 
 
+def majorities(grams: np.ndarray) -> list[int]:
+    """SimHash of WIDE bits of a set of hashes, in signed parts of 64; the first is majority(grams)."""
+    out, mixed = [majority(grams)], grams.view(np.uint64)
+    with np.errstate(over="ignore"):
+        for _ in SIMS[1:]:
+            mixed = mixed + np.uint64(0x9E3779B97F4A7C15)
+            mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            mixed ^= mixed >> np.uint64(31)
+            out.append(majority(mixed.view(np.int64)))
+    return out
+
+
 def _name(grams: np.ndarray) -> int:
     from xxhash import xxh64_intdigest
 
@@ -428,7 +444,7 @@ def prefix(grams: np.ndarray, frequent: np.ndarray) -> np.ndarray:
 
 
 def gram_sets(df: DataFrame, frequent: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (hash of the whole set of shingles), n (its size), sim (its SimHash) and prefix of each row."""
+    """doc_id, fp (hash of the whole set of shingles), n (its size), SIMS (its SimHash) and prefix of each row."""
     # At most 8 MB.
     shared = df.sparkSession.sparkContext.broadcast(frequent)
 
@@ -439,11 +455,12 @@ def gram_sets(df: DataFrame, frequent: np.ndarray, id_col: str = "doc_id", text_
             heads = [prefix(g, shared.value) for g in sets]
             ends = np.cumsum([0, *map(len, heads)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(heads) if heads else np.array([], np.int64)))
-            cols = [pa.array([f(g) for g in sets], pa.int64()) for f in (_name, len, majority)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *cols, lists], ["doc_id", "fp", "n", "sim", "prefix"])
+            cols = [pa.array([f(g) for g in sets], pa.int64()) for f in (_name, len)]
+            cols += [pa.array(c, pa.int64()) for c in (zip(*map(majorities, sets)) if sets else [[]] * len(SIMS))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols, lists], ["doc_id", "fp", "n", *SIMS, "prefix"])
 
     rows = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long, n long, sim long, prefix array<long>")
+    return rows.mapInArrow(run, f"doc_id long, fp long, n long, {', '.join(f'{c} long' for c in SIMS)}, prefix array<long>")
 
 
 def meetings(rows: DataFrame, parts: int) -> DataFrame:
@@ -478,30 +495,70 @@ def meetings(rows: DataFrame, parts: int) -> DataFrame:
     return dealt.mapInArrow(shared, "h long, fp long")
 
 
-def first_pairs(met: DataFrame, parts: int) -> DataFrame:
-    """a, b: at each hash, by size, each set with the first one; a set that is too large for it is the next first."""
-    dealt = met.repartition(parts, "h").sortWithinPartitions("h", "n", "fp")
+def met_links(met: DataFrame, parts: int, meet_rows: int = MEET_ROWS) -> DataFrame:
+    """a, b: links that span the groups of sets that meet and may be similar; at most one for each row of met(h, n, fp, SIMS) and cell."""
+    rows = _cells(met.select("fp", "n", *SIMS, "h"), ["h"], meet_rows)
+    dealt = rows.repartition(parts, "h", "i", "j").sortWithinPartitions("h", "i", "j", "n", "fp")
+    first = 2 + len(SIMS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = None
-        for batch in batches:
-            h, n, fp, sim = (c.to_numpy() for c in batch.columns)
-            a = np.empty(len(h), np.int64)
-            keep = np.zeros(len(h), bool)
-            for k, (x, size, name, bits) in enumerate(zip(h.tolist(), n.tolist(), fp.tolist(), sim.tolist())):
-                if first is None or first[0] != x or 5 * first[1] < 4 * size:
-                    first = (x, size, name, bits)
-                elif name != first[2]:
-                    keep[k] = first[1] < FEW or ((bits ^ first[3]) & (1 << 64) - 1).bit_count() <= NEAR_BITS
-                a[k] = first[2]
-            pairs = np.unique(np.sort(np.stack([a[keep], fp[keep]], 1), axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+        for cells in _whole_cells(batches, slice(first, first + 3)):
+            fp, n, h, i, j, side = *cells[:2], *cells[first:]
+            bits = [c.view(np.uint64) for c in cells[2:first]]
+
+            def similar(x, y):
+                """Whether the sets at places x and y may be similar; x and y are arrays that go together."""
+                ok = ((i[x] == j[x]) | (side[x] != side[y])) & (5 * n[x] >= 4 * n[y]) & (5 * n[y] >= 4 * n[x])
+                return ok & ((np.minimum(n[x], n[y]) < FEW) | (sum(np.bitwise_count(c[x] ^ c[y]).astype(np.int32) for c in bits) <= WIDE_BITS))
+
+            starts = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
+            sizes = np.diff(np.append(starts, len(h)))
+            cell, found = np.repeat(np.arange(len(starts)), sizes), []
+            small = np.flatnonzero(sizes[cell] <= SMALL)
+            for d in range(1, min(SMALL, len(small))):
+                x, y = small[:-d], small[d:]
+                same = cell[x] == cell[y]
+                if not same.any():
+                    break
+                x, y = x[same], y[same]
+                ok = similar(x, y)
+                found.append((x[ok], y[ok]))
+            for lo, hi in zip(starts[sizes > SMALL].tolist(), (starts + sizes)[sizes > SMALL].tolist()):
+                found.append(_spanning(lo, hi, n, similar))
+            if found:
+                groups = _Groups(len(h))
+                groups.join(*(np.concatenate(x) for x in zip(*found)))
+                child = np.flatnonzero(groups.of != np.arange(len(h)))
+                pairs = np.unique(np.stack([fp[child], fp[groups.of[child]]], 1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
 
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def _spanning(lo: int, hi: int, n: np.ndarray, similar) -> tuple[np.ndarray, np.ndarray]:
+    """Places that are linked so that they span the groups of the cell lo:hi, whose sizes n rise.
+
+    The group of the middle place only grows, so two sets that are in it when their turn comes need no comparison.
+    """
+    groups, middle = _Groups(hi - lo), (hi - lo) // 2
+    left = np.append(middle, np.delete(np.arange(hi - lo), middle))
+    step = 1
+    while len(left):
+        x, left = lo + np.sort(left[:step]), left[step:]
+        y = np.arange(lo + np.searchsorted(5 * n[lo:hi], 4 * n[x[0]], "left"), lo + np.searchsorted(4 * n[lo:hi], 5 * n[x[-1]], "right"))
+        a, b = np.nonzero(similar(x[:, None], y[None, :]))
+        groups.join(x[a] - lo, y[b] - lo)
+        left = left[groups.of[left] != groups.of[middle]]
+        step = 256
+    child = np.flatnonzero(groups.of != np.arange(hi - lo))
+    return lo + child, lo + groups.of[child]
+
+
 def other_pairs(met: DataFrame, roots: DataFrame, parts: int, meet_rows: int = MEET_ROWS) -> DataFrame:
-    """a, b: all pairs of sets that meet, may be similar and are in different groups of roots(member, root)."""
+    """a, b: all pairs of sets that meet, may be similar and are in different groups of roots(member, root).
+
+    Their number grows with the square of a group's size, so the stage takes met_links, which tests compare with this.
+    """
     named = met.join(roots, met["fp"] == roots["member"], "left").select("fp", "n", "sim", F.coalesce("root", "fp").alias("root"), "h")
     # Where all are in one group there is nothing to compare.
     several = named.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("h")
@@ -545,10 +602,46 @@ def other_pairs(met: DataFrame, roots: DataFrame, parts: int, meet_rows: int = M
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of pairs(a, b) whose texts have a Jaccard index of at least 0.8. sets(fp, least): an id with each set; texts(doc_id, text)."""
-    need = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    ids = common.materialize(sets.join(need, "fp", "left_semi").select(F.col("least").alias("id")).distinct())
+def set_links(sets: list[np.ndarray], sides: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of sets that are linked so that they span the groups of sets with a Jaccard index of 0.8 or more.
+
+    sides as in trie_links. What a set shares with all others is counted from the places of each of its shingles. The group of
+    the first place taken only grows, so two sets that are in it when their turn comes need no comparison.
+    """
+    m, n = len(sets), np.array([len(s) for s in sets])
+    mixed = len(np.unique(sides)) > 1
+    owner = np.repeat(np.arange(m), n)
+    _, code = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(code, kind="stable")
+    owners = owner[order]
+    starts = np.append(0, np.cumsum(np.bincount(code)))
+    ends = np.append(0, np.cumsum(n))
+    of, a, b = np.arange(m), [], []
+    first = int(np.argsort(n, kind="stable")[m // 2])
+    for x in [first, *(k for k in range(m) if k != first)]:
+        if x != first and of[x] == of[first]:
+            continue
+        own = code[ends[x] : ends[x + 1]]
+        size = starts[own + 1] - starts[own]
+        at = np.repeat(starts[own] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        shared = np.bincount(owners[at], minlength=m)
+        ok = (5 * shared >= 4 * (n[x] + n - shared)) & (of != of[x])
+        if mixed:
+            ok &= sides != sides[x]
+        met, places = np.unique(of[ok], return_index=True)
+        if len(met):
+            a += [x] * len(met)
+            b += np.flatnonzero(ok)[places].tolist()
+            of[np.isin(of, met)] = of[x]
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def block_links(blocks: DataFrame, sets: DataFrame, texts: DataFrame, parts: int, block_grams: int = BLOCK_GRAMS) -> DataFrame:
+    """a, b: links that span the groups of sets of one of blocks(fp, block) whose texts have a Jaccard index of 0.8 or more.
+
+    sets(fp, least): an id with each set; texts(doc_id, text).
+    """
+    ids = common.materialize(sets.join(blocks, "fp", "left_semi").select(F.col("least").alias("id")).distinct())
     if ids.count() <= FEW_IDS:
         ids = F.broadcast(ids)
     held = texts.join(ids, texts["doc_id"].eqNullSafe(ids["id"]), "left_semi")
@@ -556,30 +649,33 @@ def verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed = _WordHashes()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([_name(grams(t, hashed)) for t in b.column(1).to_pylist()], pa.int64()), b.column(1)], ["fp", "text"])
+            found = [grams(t, hashed) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(pa.array([f(g) for g in found], pa.int64()) for f in (_name, len)), b.column(1)], ["fp", "n", "text"])
 
     # Rows of one id may have different texts.
-    held = common.materialize(held.mapInArrow(name, "fp long, text string").join(need, "fp", "left_semi").dropDuplicates(["fp"]))
-    both = pairs.join(held.select(F.col("fp").alias("a"), F.col("text").alias("x")), "a")
-    both = both.join(held.select(F.col("fp").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
+    held = common.materialize(held.mapInArrow(name, "fp long, n long, text string").join(blocks, "fp").dropDuplicates(["fp"]))
+    cells = _cells(held, ["block"], block_grams, "n")
+    dealt = cells.select("fp", "text", "block", "i", "j", "side").repartition(parts, "block", "i", "j").sortWithinPartitions("block", "i", "j", "fp")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed, known, size = _WordHashes(), {}, 0
-        for b in batches:
-            ok = []
-            for i, j, x, y in zip(*[c.to_pylist() for c in b.columns]):
-                if size > KNOWN_GRAMS:
-                    known, size = {}, 0
-                for name, text in ((i, x), (j, y)):
-                    if name not in known:
-                        known[name] = grams(text, hashed)
-                        size += len(known[name])
-                x, y = known[i], known[j]
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(5 * shared >= 4 * (len(x) + len(y) - shared))
-            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    out = common.materialize(both.mapInArrow(check, "a long, b long"))
+        hashed, key, cell = _WordHashes(), None, []
+
+        def close():
+            fps, sides, found = zip(*cell)
+            a, b = (np.array(fps, np.int64)[x] for x in set_links(list(found), np.array(sides)))
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        for batch in batches:
+            for fp, text, *at, side in zip(*[c.to_pylist() for c in batch.columns]):
+                if at != key and cell:
+                    yield close()
+                    cell = []
+                key = at
+                cell.append((fp, side, grams(text, hashed)))
+        if cell:
+            yield close()
+
+    out = common.materialize(dealt.mapInArrow(check, "a long, b long"))
     common.discard(held)
     return out
 
@@ -589,13 +685,14 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     parts = common.partitions(df.sparkSession)
     texts = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text"))
     rows = common.materialize(gram_sets(texts, frequent_grams(texts)))
-    sets = common.materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("n").alias("n"), F.min("sim").alias("sim")))
+    sets = common.materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), *[F.min(c).alias(c) for c in ("n", *SIMS)]))
     met = common.materialize(meetings(rows.where("n > 0"), parts))
-    met = common.materialize(met.join(sets.select("fp", "n", "sim"), "fp").select("h", "n", "fp", "sim"))
-    near = verified(common.materialize(first_pairs(met, parts)), sets, texts)
-    more = common.materialize(other_pairs(met, star_components(near), parts))
-    edges = near.unionByName(verified(more, sets, texts))
-    return _named(rows.select("doc_id", "fp"), sets.select("fp", "least"), edges)
+    near = met_links(met.join(sets.select("fp", "n", *SIMS), "fp"), parts)
+    roots = star_components(near)
+    common.discard(met)
+    blocks = roots.select(F.col("member").alias("fp"), F.col("root").alias("block"))
+    blocks = common.materialize(blocks.unionByName(roots.select(F.col("root").alias("fp"), F.col("root").alias("block")).distinct()))
+    return _named(rows.select("doc_id", "fp"), sets.select("fp", "least"), block_links(blocks, sets, texts, parts))
 
 
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
