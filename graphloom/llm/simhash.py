@@ -22,7 +22,8 @@ from the walk. The spanning links of all cells are contracted by alternating
 large-star and small-star steps on the cluster.
 
 The pipeline's stage has another rule: texts whose sets of five-word shingles
-have a Jaccard index of 0.8 or more. Two such sets share one of the hashes that come first in a fixed
+have a Jaccard index of 0.8 or more. Its candidates are the links of the same self-join on SimHash fingerprints of these sets,
+and, as four bits are too few for all such pairs, sets that meet: two such sets share one of the hashes that come first in a fixed
 order (a prefix of a fifth), so sets are dealt out by the hashes of their prefixes. The
 order is by value, but hashes that are frequent in a sample of the texts come last, so that passages that many
 documents share don't bring these together. (Any order loses no pair; the sample only bears on the work.) Where
@@ -602,6 +603,16 @@ def other_pairs(met: DataFrame, roots: DataFrame, parts: int, meet_rows: int = M
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def trie_pairs(sets: DataFrame, parts: int) -> DataFrame:
+    """a, b: links that span the groups of sets(fp, sim) whose fingerprints sim link in the trie self-join; sets of one fingerprint link."""
+    names = common.materialize(sets.groupBy("sim").agg(F.min("fp").alias("name")))
+    alike = sets.join(names, "sim").where("fp <> name").select(F.col("fp").alias("a"), F.col("name").alias("b"))
+    near = links(names.select(F.col("sim").alias("fp")), parts)
+    near = near.join(names.select(F.col("sim").alias("a"), F.col("name").alias("x")), "a")
+    near = near.join(names.select(F.col("sim").alias("b"), F.col("name").alias("y")), "b")
+    return alike.unionByName(near.select(F.col("x").alias("a"), F.col("y").alias("b")))
+
+
 def set_links(sets: list[np.ndarray], sides: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of sets that are linked so that they span the groups of sets with a Jaccard index of 0.8 or more.
 
@@ -688,6 +699,7 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     sets = common.materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), *[F.min(c).alias(c) for c in ("n", *SIMS)]))
     met = common.materialize(meetings(rows.where("n > 0"), parts))
     near = met_links(met.join(sets.select("fp", "n", *SIMS), "fp"), parts)
+    near = near.unionByName(trie_pairs(sets.where("n > 0").select("fp", "sim"), parts))
     roots = star_components(near)
     common.discard(met)
     blocks = roots.select(F.col("member").alias("fp"), F.col("root").alias("block"))

@@ -1,4 +1,4 @@
-"""The near-dedup stage: work that grows with a group's size, not its square."""
+"""The near-dedup stage: the trie self-join's part in it, and work that grows with a group's size, not its square."""
 
 import random
 
@@ -46,6 +46,22 @@ def test_large_group_does_not_give_all_its_pairs(spark, monkeypatch):
     assert seen and max(seen) < 20 * m < m * (m - 1) / 2
 
 
+def test_trie_self_join_gives_candidates(spark, monkeypatch):
+    """Without the sets that meet at prefixes, texts whose fingerprints link in the trie self-join are still found."""
+    rnd = random.Random(3)
+    rows = []
+    for k in range(60):
+        w = [f"t{rnd.randrange(10**5)}" for _ in range(400)]
+        rows += [(3 * k, " ".join(w)), (3 * k + 1, " ".join(w[:-1])), (3 * k + 2, " ".join(w[:200]))]
+    prints = {i: simhash.majority(simhash.grams(t)) for i, t in rows}
+    near = {3 * k + 1 for k in range(60) if ((prints[3 * k] ^ prints[3 * k + 1]) & (1 << 64) - 1).bit_count() <= simhash.ERRORS}
+    assert len(near) > 50
+    none = spark.createDataFrame([], "a long, b long")
+    monkeypatch.setattr(simhash, "met_links", lambda met, parts: none)
+    got = {r.doc_id for r in simhash.filter_stage(docs(spark, rows)).collect()}
+    assert got == {i for i, _ in rows} - near
+
+
 def test_cut_cells_and_blocks_give_the_same_groups(spark):
     rows = family(90) + [(90 + i, t.replace("b", "d")) for i, t in family(40, 6)] + [(130, "one two three"), (131, "one two three four")]
     table = docs(spark, rows)
