@@ -12,7 +12,7 @@ A document's successor (the next lower doc_id; after the last, the first) is
 found without one global window. Rows are sorted by falling id, rows of equal ids by a hash of their texts, and dealt
 out by ranges of that order, as many as there are shuffle partitions. The bounds are quantiles of a
 sample, ``PER_RANGE`` rows of each range on average, which only bear on balance. Each range's first row also goes
-to the range before, as its last successor. Rows that are alike in id and text may take
+to the range before, as its last successor. Texts are dealt out compressed, one by one. Rows that are alike in id and text may take
 several ranges: they follow each other, so each is its own successor but for the last.
 
 Defined cases: null and empty texts have the empty fingerprint, and two empty
@@ -208,6 +208,24 @@ def _deal(ranges: _Ranges):
     return run
 
 
+def _pack(text: str) -> bytes:
+    """The text's UTF-8 in zstd, after its size in eight bytes."""
+    data = text.encode()
+    return len(data).to_bytes(8, "big") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _unpack(packed: bytes) -> str:
+    size = int.from_bytes(packed[:8], "big")
+    return pa.decompress(memoryview(packed)[8:], size, codec="zstd", asbytes=True).decode()
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of doc_id, text, h with packed texts."""
+    for b in batches:
+        text = pa.array([_pack(t) for t in b.column(1).to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([b.column(0), text, b.column(2)], ["doc_id", "text", "h"])
+
+
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
@@ -217,7 +235,8 @@ def fingerprints_with_edits(df: DataFrame, id_col: str = "doc_id", text_col: str
     rows = rows.select("doc_id", "text", F.xxhash64("text").alias("h"))
     n = common.partitions(df.sparkSession)
     ranges = _ranges(rows.select("doc_id", "h"), n)
-    dealt = rows.mapInArrow(_deal(ranges), "at int, ghost int, doc_id long, text string, h long").repartitionById(n, "at")
+    deal = _deal(ranges)
+    dealt = rows.mapInArrow(lambda batches: deal(_packed(batches)), "at int, ghost int, doc_id long, text binary, h long").repartitionById(n, "at")
     dealt = dealt.sortWithinPartitions("at", "ghost", F.col("doc_id").desc_nulls_last(), "h", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,12 +268,13 @@ def fingerprints_with_edits(df: DataFrame, id_col: str = "doc_id", text_col: str
 
         for b in batches:
             keys = _keys(b.column(2), b.column(4))
-            for at, ghost, doc, text, key in zip(*[c.to_pylist() for c in b.columns[:4]], keys.tolist()):
+            for at, ghost, doc, packed, key in zip(*[c.to_pylist() for c in b.columns[:4]], keys.tolist()):
                 if held is not None and held[0] != at:
                     close()
                     held = None
                 if ghost and held is None:
                     continue
+                text = _unpack(packed)
                 kept = winnow(text)
                 if held is not None:
                     out.append(finish(text, kept))

@@ -105,3 +105,30 @@ def test_ranges_stay_even(spark):
     dealt = rows.mapInArrow(winnowing._deal(ranges), "at int, ghost int, doc_id long, text string, h long").where("ghost = 0")
     counts = [r["count"] for r in dealt.groupBy("at").count().collect()]
     assert len(counts) == n and max(counts) < 3 * 200_000 / n
+
+
+def test_shuffle_is_smaller_than_the_texts(spark, many_partitions):
+    """Texts are dealt out compressed."""
+    many_partitions(4)
+    rnd = random.Random(4)
+    words = ["".join(rnd.choices("etaoinshrdlu", k=rnd.randrange(2, 9))) for _ in range(1500)]
+    texts = docs(spark, [(k, " ".join(rnd.choices(words, k=500))) for k in range(300)])
+
+    def written(df):
+        """Bytes of the rows that the exchange of texts writes, by its metric."""
+        df.collect()
+        plan, sizes = df._jdf.queryExecution().executedPlan(), []
+        stack = [plan.executedPlan() if "Adaptive" in plan.nodeName() else plan]
+        while stack:
+            node = stack.pop()
+            metric = node.metrics().get("dataSize")
+            if metric.isDefined():
+                sizes.append(metric.get().value())
+            if "QueryStage" in node.nodeName():
+                stack.append(node.plan())
+            stack += [node.children().apply(k) for k in range(node.children().size())]
+        return max(sizes)
+
+    size = sum(len(r.text) for r in texts.collect())
+    assert 0 < written(winnowing.fingerprints_with_edits(texts)) < 0.7 * size
+    assert all(winnowing._unpack(winnowing._pack(t)) == t for t in ["", "x", "日本\U0001F600\n", "ab" * 50_000])
