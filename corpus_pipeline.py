@@ -3,6 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes
 what a stage returns as Parquet in the shared folder and reads it again as the
 next stage's docs. All stages but the last return the columns of documents.
+
+Stages that run Python limit the session's batches for Python workers (common.small_batches).
 """
 
 from __future__ import annotations
@@ -23,21 +25,25 @@ def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     It is fitted to the table that the pipeline starts from, in which bad documents still are; the rules have
     taken most of them out of docs. A null text is scored as an empty one. If no labeller votes bad, all stay.
     """
+    common.small_batches(spark)
     return quality_classifier.filter_stage(docs, corpus=common.documents(spark, sf_dir))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least doc_id of each group of near copies. Texts without words are copies of each other."""
+    common.small_batches(spark)
     return simhash.filter_stage(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All docs, with secrets in their texts masked and n_chars counted anew there; a null text stays null."""
+    common.small_batches(spark)
     return secret_scan.redact_stage(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The place of each piece of each document; a null or empty text is one token."""
+    common.small_batches(spark)
     return packing.pack(docs.select("doc_id", "text"))
 
 

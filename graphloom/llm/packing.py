@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 from . import common
 
 CAPACITY = 2048
-#: Words that a worker remembers.
-CACHE_WORDS = 1_000_000
+#: New words after which a worker forgets those it hasn't met since it last did so; it holds twice as many, of some 200 bytes each.
+CACHE_WORDS = 200_000
 
 #: White space beyond ASCII, a letter whose lower case depends on its place: encoded by the library as a whole.
 _ODD = re.compile("[\x1c-\x1f\x85\xa0Σ ᠎ -​    　﻿]")
@@ -56,16 +56,23 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Known(dict):
-    """Words' ids; a word that is asked for first is encoded then."""
+    """Words' ids; a word that is asked for first is encoded then. Frequent words outlive age()."""
 
     def __init__(self, encode):
         super().__init__()
         self.encode = encode
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        self[word] = ids = self.encode(word)
+        ids = self.old.get(word)
+        self[word] = ids = self.encode(word) if ids is None else ids
         return ids
 
+    def age(self) -> None:
+        """Forget what wasn't asked for since the last call."""
+        self.old = dict(self)
+        self.clear()
+
 
 class Tokens:
     """A text's ids as little-endian unsigned 32-bit bytes. Words are looked up; the library encodes a new word once."""
@@ -107,7 +114,7 @@ class Tokens:
         if _ODD.search(text) or "<|" in text or not unicodedata.is_normalized("NFC", text):
             return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
         if len(self.known) > CACHE_WORDS:
-            self.known.clear()
+            self.known.age()
         return b"".join(map(self.known.__getitem__, text.split()))
 
 
@@ -144,7 +151,7 @@ def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "piece", "start", "length", "ids_crc32", "task", "nth"])
 
     rows = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text"))
-    return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long")
+    return common.map_arrow(rows, run, "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long")
 
 
 def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:

@@ -168,7 +168,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: i
             yield pa.RecordBatch.from_arrays([pa.array([pattern_of(votes(*measures(t or ""))) for t in b.column(0).to_pylist()], pa.int32())], ["pattern"])
 
     # At most 3 ** labellers rows reach the driver.
-    counts = {r["pattern"]: r["count"] for r in rows.select("text").mapInArrow(vote, "pattern int").groupBy("pattern").count().collect()}
+    counts = {r["pattern"]: r["count"] for r in common.map_arrow(rows.select("text"), vote, "pattern int").groupBy("pattern").count().collect()}
     total = sum(counts.values())
     if not any(-1 in votes_of(p) for p in counts):
         return None
@@ -186,7 +186,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: i
     chosen = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < F.lit(int(min(1.0, sample / total) * (1 << 30)))
     # The limit bounds repeated rows, which share a hash; its few rows are dealt out again for their features.
     drawn = rows.where(chosen).limit(2 * sample).repartition(common.partitions(df.sparkSession))
-    got = drawn.mapInArrow(vector, "x binary, y double").collect()
+    got = common.map_arrow(drawn, vector, "x binary, y double").collect()
     if not got:
         return None
     x = np.stack([np.frombuffer(r["x"], np.float16) for r in got]).astype(np.float32)
@@ -211,7 +211,7 @@ def score(df: DataFrame, fitted: tuple[np.ndarray, float] | None, id_col: str =
             s = [1.0 if fitted is None else score_text(t or "", fitted) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64())], ["doc_id", "score"])
 
-    return df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text")).mapInArrow(run, "doc_id long, score double")
+    return common.map_arrow(df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text")), run, "doc_id long, score double")
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -233,4 +233,4 @@ def filter_stage(docs: DataFrame, sample: int = SAMPLE, corpus: DataFrame | None
             kept = [fitted is None or score_text(t or "", fitted) >= KEEP for t in b.column(at).to_pylist()]
             yield b.filter(pa.array(kept, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return common.map_arrow(docs, run, docs.schema)

@@ -348,7 +348,7 @@ def found(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(spans, pa.list_(span)), pa.array(others, pa.list_(span))], ["doc_id", "spans", "candidates"])
 
     rows = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text"))
-    return rows.mapInArrow(run, f"doc_id long, spans array<{SPAN}>, candidates array<{SPAN}>")
+    return common.map_arrow(rows, run, f"doc_id long, spans array<{SPAN}>, candidates array<{SPAN}>")
 
 
 def infer(table: DataFrame, sample: int = SAMPLE) -> Formats:
@@ -374,7 +374,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
                 kept.append([row[k] for k in formats.chosen([(c["start"], c["stop"], c["value"]) for c in row])])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(kept, b.schema.field(2).type)], ["doc_id", "spans", "added"])
 
-    return table.mapInArrow(run, f"doc_id long, spans array<{SPAN}>, added array<{SPAN}>")
+    return common.map_arrow(table, run, f"doc_id long, spans array<{SPAN}>, added array<{SPAN}>")
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -425,4 +425,4 @@ def redact_stage(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
                 cols[chars] = pa.array(counts, b.schema.field(chars).type)
             yield pa.RecordBatch.from_arrays(cols, schema=b.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return common.map_arrow(docs, run, docs.schema)

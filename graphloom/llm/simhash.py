@@ -114,7 +114,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
     rows = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return common.map_arrow(rows, run, "doc_id long, fp long")
 
 
 # Trie self-join of one cell
@@ -308,7 +308,7 @@ def links(fps: DataFrame, parts: int, cell_rows: int = CELL_ROWS) -> DataFrame:
                 back = [_turn(x, 64 - bits).view(np.int64) for x in (a, b)]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in back], ["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return common.map_arrow(dealt, run, "a long, b long")
 
 
 # Groups of linked fingerprints
@@ -367,7 +367,7 @@ class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         from xxhash import xxh64_intdigest
 
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h = xxh64_intdigest(word, SEED)
         return h
@@ -430,7 +430,7 @@ def frequent_grams(df: DataFrame, text_col: str = "text") -> np.ndarray:
             for t in b.column(0).to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(grams(t, hashed))], ["h"])
 
-    counts = some.mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= OFTEN)
+    counts = common.map_arrow(some, run, "h long").groupBy("h").count().where(F.col("count") >= OFTEN)
     top = counts.orderBy(F.desc("count"), "h").limit(MOST_FREQUENT).select("h").toArrow()
     return np.sort(top.column(0).to_numpy())
 
@@ -461,7 +461,7 @@ def gram_sets(df: DataFrame, frequent: np.ndarray, id_col: str = "doc_id", text_
             yield pa.RecordBatch.from_arrays([b.column(0), *cols, lists], ["doc_id", "fp", "n", *SIMS, "prefix"])
 
     rows = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text"))
-    return rows.mapInArrow(run, f"doc_id long, fp long, n long, {', '.join(f'{c} long' for c in SIMS)}, prefix array<long>")
+    return common.map_arrow(rows, run, f"doc_id long, fp long, n long, {', '.join(f'{c} long' for c in SIMS)}, prefix array<long>")
 
 
 def meetings(rows: DataFrame, parts: int) -> DataFrame:
@@ -475,7 +475,7 @@ def meetings(rows: DataFrame, parts: int) -> DataFrame:
             lists = b.column(1).filter(pa.array(new))
             yield pa.RecordBatch.from_arrays([lists.flatten(), pa.array(np.repeat(fp[new], lists.value_lengths().to_numpy()))], ["h", "fp"])
 
-    dealt = rows.select("fp", "prefix").mapInArrow(spread, "h long, fp long").repartition(parts, "h").sortWithinPartitions("h", "fp")
+    dealt = common.map_arrow(rows.select("fp", "prefix"), spread, "h long, fp long").repartition(parts, "h").sortWithinPartitions("h", "fp")
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows, without repeats, whose hash the row before or after has too; the last row of a batch waits for the next."""
@@ -493,7 +493,7 @@ def meetings(rows: DataFrame, parts: int) -> DataFrame:
         if met:
             yield pa.RecordBatch.from_arrays([pa.array(last[:, 0].copy()), pa.array(last[:, 1].copy())], ["h", "fp"])
 
-    return dealt.mapInArrow(shared, "h long, fp long")
+    return common.map_arrow(dealt, shared, "h long, fp long")
 
 
 def met_links(met: DataFrame, parts: int, meet_rows: int = MEET_ROWS) -> DataFrame:
@@ -533,7 +533,7 @@ def met_links(met: DataFrame, parts: int, meet_rows: int = MEET_ROWS) -> DataFra
                 pairs = np.unique(np.stack([fp[child], fp[groups.of[child]]], 1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return common.map_arrow(dealt, run, "a long, b long").distinct()
 
 
 def _spanning(lo: int, hi: int, n: np.ndarray, similar) -> tuple[np.ndarray, np.ndarray]:
@@ -600,7 +600,7 @@ def other_pairs(met: DataFrame, roots: DataFrame, parts: int, meet_rows: int = M
                 pairs = np.unique(np.sort(pairs, axis=1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return common.map_arrow(dealt, run, "a long, b long").distinct()
 
 
 def trie_pairs(sets: DataFrame, parts: int) -> DataFrame:
@@ -664,7 +664,7 @@ def block_links(blocks: DataFrame, sets: DataFrame, texts: DataFrame, parts: int
             yield pa.RecordBatch.from_arrays([*(pa.array([f(g) for g in found], pa.int64()) for f in (_name, len)), b.column(1)], ["fp", "n", "text"])
 
     # Rows of one id may have different texts.
-    held = common.materialize(held.mapInArrow(name, "fp long, n long, text string").join(blocks, "fp").dropDuplicates(["fp"]))
+    held = common.materialize(common.map_arrow(held, name, "fp long, n long, text string").join(blocks, "fp").dropDuplicates(["fp"]))
     cells = _cells(held, ["block"], block_grams, "n")
     dealt = cells.select("fp", "text", "block", "i", "j", "side").repartition(parts, "block", "i", "j").sortWithinPartitions("block", "i", "j", "fp")
 
@@ -686,7 +686,7 @@ def block_links(blocks: DataFrame, sets: DataFrame, texts: DataFrame, parts: int
         if cell:
             yield close()
 
-    out = common.materialize(dealt.mapInArrow(check, "a long, b long"))
+    out = common.materialize(common.map_arrow(dealt, check, "a long, b long"))
     common.discard(held)
     return out
 
