@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import bits
+from ..sources.storage import dealt
 
 
 def drop_loops(edges: DataFrame) -> DataFrame:
@@ -24,10 +25,26 @@ def dedup(sym: DataFrame) -> DataFrame:
     return sym.select("src", "dst").distinct()
 
 
+def pairs(edges: DataFrame) -> DataFrame:
+    """lo, hi, n: each two joined vertices once, lo < hi, and the number of edges between them in either direction."""
+    e = drop_loops(edges).select(F.least("v0", "v1").alias("lo"), F.greatest("v0", "v1").alias("hi"))
+    return dealt(e, "lo", "hi").groupBy("lo", "hi").agg(F.count(F.lit(1)).alias("n"))
+
+
+def both_ways(pairs: DataFrame, *others: str) -> DataFrame:
+    """src, dst (and other columns) of each pair (lo, hi) in both directions, in one reading of the pairs."""
+    turn = lambda a, b: F.struct(F.col(a).alias("src"), F.col(b).alias("dst"))
+    return pairs.select(F.inline(F.array(turn("lo", "hi"), turn("hi", "lo"))), *others)
+
+
+def neighbours(edges: DataFrame) -> DataFrame:
+    """dedup(symmetrize(edges)), for which half the rows are dealt out."""
+    return both_ways(pairs(edges))
+
+
 def dedup_stats(edges: DataFrame) -> DataFrame:
     """before, after, percent: directed edges before and after duplicates go. One shuffle, with counts made before it."""
-    pairs = symmetrize(edges).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
-    return pairs.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("before"), F.count(F.lit(1)).alias("after")).withColumn(
+    return pairs(edges).agg(F.coalesce(F.sum("n") * 2, F.lit(0)).alias("before"), (F.count(F.lit(1)) * 2).alias("after")).withColumn(
         "percent", F.when(F.col("before") > 0, F.col("after") * 100.0 / F.col("before"))
     )
 

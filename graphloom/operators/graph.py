@@ -58,7 +58,7 @@ def relabel(edges: DataFrame, ranks: DataFrame) -> DataFrame:
 
 def low_degree_hist(edges: DataFrame, most: int = 9) -> DataFrame:
     """k, n: vertices with more than k different neighbours, for k = 0 to most."""
-    deg = E.dedup(E.symmetrize(edges)).groupBy("src").agg(F.count(F.lit(1)).alias("d"))
+    deg = E.neighbours(edges).groupBy("src").agg(F.count(F.lit(1)).alias("d"))
     hist = deg.groupBy(F.least("d", F.lit(most + 1)).alias("d")).agg(F.count(F.lit(1)).alias("c"))  # most + 1 rows
     ks = hist.sparkSession.range(0, most + 1, 1, 1).select(F.col("id").cast("int").alias("k"))
     return ks.join(F.broadcast(hist), F.col("d") > F.col("k"), "left").groupBy("k").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"))
@@ -80,12 +80,12 @@ def max_used_vertex(edges: DataFrame) -> DataFrame:
 
 def first_neighbour(edges: DataFrame) -> DataFrame:
     """v, first_nbr, rest: the least neighbour and how many others there are."""
-    return E.dedup(E.symmetrize(edges)).groupBy(F.col("src").alias("v")).agg(F.min("dst").alias("first_nbr"), (F.count(F.lit(1)) - 1).alias("rest"))
+    return E.neighbours(edges).groupBy(F.col("src").alias("v")).agg(F.min("dst").alias("first_nbr"), (F.count(F.lit(1)) - 1).alias("rest"))
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
     """v, nbrs: sorted neighbours. A row is as long as a vertex's degree; traversals use the edge table instead."""
-    return E.dedup(E.symmetrize(edges)).groupBy(F.col("src").alias("v")).agg(F.sort_array(F.collect_list("dst")).alias("nbrs"))
+    return E.neighbours(edges).groupBy(F.col("src").alias("v")).agg(F.sort_array(F.collect_list("dst")).alias("nbrs"))
 
 
 def max_degree_vertex(edges: DataFrame) -> DataFrame:
@@ -94,7 +94,7 @@ def max_degree_vertex(edges: DataFrame) -> DataFrame:
 
 def skew_stats(edges: DataFrame, parts: int) -> DataFrame:
     """Totals and the greatest excess over the mean, in percent, of directed edges by part (src mod parts)."""
-    by = E.dedup(E.symmetrize(edges)).groupBy(F.pmod("src", F.lit(parts)).alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    by = E.neighbours(edges).groupBy(F.pmod("src", F.lit(parts)).alias("part")).agg(F.count(F.lit(1)).alias("n"))
     return by.agg(
         F.sum("n").alias("total"), F.max("n").alias("most"), (F.max("n") * 100.0 * parts / F.sum("n") - 100.0).alias("excess_percent")
     )
@@ -130,7 +130,7 @@ def build_graph(edges: DataFrame, parts: int | None = None, hub: int = HUB) -> G
     """Degrees with duplicates; edges without."""
     rows = F.count(F.lit(1))
     vertices, nodes = materialize_counted(degree(edges), n=rows, degrees=F.coalesce(F.sum("degree"), F.lit(0)))
-    pairs = E.dedup(E.symmetrize(edges))
+    pairs = E.neighbours(edges)
     deg = vertices.select(F.col("v").alias("dst"), F.col("degree").alias("dst_degree"))
     hubs = vertices.where(F.col("degree") > hub).select(F.col("v").alias("src"), F.ceil(F.col("degree") / hub).alias("slots"))
     slot = F.pmod(F.xxhash64("dst"), F.coalesce("slots", F.lit(1).cast("long"))).cast("int").alias("slot")

@@ -70,7 +70,7 @@ def symmetrize(spark, d):
 
 @query(f"WITH {edges_sql('mix')} SELECT src, dst FROM g")
 def dedup_edges(spark, d):
-    return E.dedup(E.symmetrize(mix(spark, d)))
+    return E.neighbours(mix(spark, d))
 
 
 @query(

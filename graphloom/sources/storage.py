@@ -50,6 +50,23 @@ def materialize_bucketed(df: DataFrame, keys: list[str], order: list[str], bucke
     return out
 
 
+#: Source bytes (files as they lie on disk) for each task of a shuffle that dealt() widens.
+TASK_BYTES = 16 << 20
+
+
+def source_bytes(df: DataFrame) -> int:
+    """Size of the files that df's plan reads, each as often as it is read; 0 for sources whose size isn't known."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
+    return sum(x for x in sizes if x < 1 << 60)
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df, dealt out by keys to more tasks than the session has by default if its sources are too large for those; else as it is."""
+    parts = -(-source_bytes(df) // TASK_BYTES)
+    return df.repartition(parts, *keys) if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def discard(df: DataFrame | None) -> None:
     """Delete a table made by materialize() or materialize_bucketed() that nothing reads any more."""
     path = getattr(df, "_graphloom_path", None)

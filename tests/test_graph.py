@@ -1,4 +1,5 @@
 import random
+import re
 import struct
 
 import pytest
@@ -11,6 +12,7 @@ from graphloom.plans import stats
 from graphloom.plans.policy import DirectionPolicy
 from graphloom.plans.run import options, register_views, report, run, seed_trials
 from graphloom.plans.tuning import Tuner
+from graphloom.sources import storage
 
 
 def frame(spark, pairs):
@@ -241,3 +243,17 @@ def test_options():
     assert o.keys == 64 and o.validation == 2
     with pytest.raises(SystemExit):
         options(["5", "-s", "2", "-A"])
+
+
+def test_distinct_pairs_are_dealt_to_tasks_by_size(spark, tmp_path, monkeypatch):
+    """What a task of the duplicate search holds is bounded by the size of the sources, not by a number of tasks."""
+    pairs = GRAPHS["random"] + GRAPHS["multi"]
+    frame(spark, pairs).write.parquet(str(tmp_path / "e"))
+    edges = spark.read.parquet(str(tmp_path / "e"))
+    monkeypatch.setattr(storage, "TASK_BYTES", 200, raising=False)
+    near = {v: {a + b - v for a, b in pairs if v in (a, b) and a != b} for v in {x for p in pairs for x in p}}
+    hist = G.low_degree_hist(edges)
+    assert {r.k: r.n for r in hist.collect()} == {k: sum(len(x) > k for x in near.values()) for k in range(10)}
+    dealt = [int(n) for n in re.findall(r"hashpartitioning\([^()]*, (\d+)\)", hist._jdf.queryExecution().executedPlan().toString())]
+    assert max(dealt) > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert {tuple(r) for r in E.neighbours(edges).collect()} == {(v, w) for v, x in near.items() for w in x}
