@@ -5,8 +5,8 @@ neighbours of a level lie in the level before, in it or in the next one, so
 a top-down step drops what the last two levels hold instead of all that was
 reached: the work of a level follows its frontier, not the graph. A bottom-up
 step starts from the unreached vertices, a table that is made when
-the direction first turns and then carried forward, shrinking. Both read the
-edges in their buckets.
+the direction first turns and then carried forward, shrinking; it reads the edges of
+these or of the frontier, whichever has fewer. Both read the edges in their buckets.
 """
 
 from __future__ import annotations
@@ -34,10 +34,9 @@ class Traversal:
     record: dict = field(default_factory=dict)
 
 
-def top_down_step(graph: Graph, frontier: DataFrame, recent: DataFrame) -> DataFrame:
-    """Neighbours of the frontier that the last levels don't hold, with their least parent."""
-    near = graph.pieces(frontier).select("root", "src", "slot")
-    found = graph.adj.join(near, ["src", "slot"]).groupBy("root", F.col("dst").alias("v"))
+def top_down_step(graph: Graph, frontier: DataFrame, recent: DataFrame, size: int | None = None) -> DataFrame:
+    """Neighbours of the frontier (of size rows, if known) that the last levels don't hold, with their least parent."""
+    found = graph.edges_of(frontier, size).groupBy("root", F.col("dst").alias("v"))
     found = found.agg(F.min("src").alias("pred"), F.max("dst_degree").alias("degree"))
     return found.join(recent.select("root", "v"), ["root", "v"], "left_anti")
 
@@ -50,11 +49,19 @@ def unreached_vertices(graph: Graph, levels: DataFrame, roots: list[int]) -> Dat
     return every.join(levels.select("root", "v"), ["root", "v"], "left_anti")
 
 
-def bottom_up_step(graph: Graph, frontier: DataFrame, unreached: DataFrame) -> DataFrame:
-    """unreached(root, v, degree) with pred: the least neighbour in the frontier, null where there is none."""
-    near = frontier.select("root", F.col("v").alias("dst"))
-    ends = graph.adj.select("src", "slot", "dst").join(graph.pieces(unreached).select("root", "src", "slot"), ["src", "slot"])
-    hits = ends.join(near, ["root", "dst"]).groupBy("root", F.col("src").alias("v")).agg(F.min("dst").alias("pred"))
+def bottom_up_step(graph: Graph, frontier: DataFrame, unreached: DataFrame, size: int | None = None, from_frontier: bool = False) -> DataFrame:
+    """unreached(root, v, degree) with pred: the least neighbour in the frontier, null where there is none.
+
+    The edges between the two are looked up from either end, as the graph is symmetric: those of the unreached, which then
+    meet the frontier, or those of the frontier, which then meet the unreached. The second way deals out the least
+    parents only, not all edges of what is unreached. size: rows of the end that is looked up, if known.
+    """
+    if from_frontier:
+        hits = graph.edges_of(frontier, size).groupBy("root", F.col("dst").alias("v")).agg(F.min("src").alias("pred"))
+    else:
+        near = frontier.select("root", F.col("v").alias("dst"))
+        ends = graph.edges_of(unreached, size).select("root", "src", "dst")
+        hits = ends.join(near, ["root", "dst"]).groupBy("root", F.col("src").alias("v")).agg(F.min("dst").alias("pred"))
     return unreached.select("root", "v", "degree").join(hits, ["root", "v"], "left")
 
 
@@ -79,19 +86,24 @@ def bfs(graph: Graph, roots: list[int] | DataFrame, policy: DirectionPolicy | No
     policy = policy or DirectionPolicy(graph.num_edges, graph.num_vertices, by_work=graph.degree_sum)
     figures = {"size": F.count(F.when(F.col("pred").isNotNull(), 1)), "degrees": F.coalesce(F.sum(F.when(F.col("pred").isNotNull(), F.col("degree"))), F.lit(0))}
     levels, trace, level, swept, unreached = [frontier], [], first_level, None, None
+    # Rows and degrees of the frontier (None: not counted) and of what is unreached.
+    size, degrees = len(few) if len(few) <= MOST_ROOTS else None, None
+    left = [len(few) * graph.num_vertices, len(few) * graph.degree_sum]
     while max_levels is None or level - first_level < max_levels:
         direction, level = policy.direction(), level + 1
         if direction == "top_down" or len(few) > MOST_ROOTS:
             direction, unreached = "top_down", None
-            found = top_down_step(graph, frontier, reduce(DataFrame.unionByName, levels[-2:]))
+            found = top_down_step(graph, frontier, reduce(DataFrame.unionByName, levels[-2:]), size)
             frontier, seen = materialize_counted(found.select("root", "v", "pred", F.lit(level).alias("level"), "degree"), **figures)
         else:
             if unreached is None:
                 unreached = unreached_vertices(graph, reduce(DataFrame.unionByName, levels), few)
-            swept, seen = materialize_counted(bottom_up_step(graph, frontier, unreached), **figures)
+            from_frontier = degrees is None or degrees < left[1]
+            swept, seen = materialize_counted(bottom_up_step(graph, frontier, unreached, size if from_frontier else left[0], from_frontier), **figures)
             frontier = swept.where("pred IS NOT NULL").select("root", "v", "pred", F.lit(level).alias("level"), "degree")
             unreached = swept.where("pred IS NULL").select("root", "v", "degree")
         size, degrees = seen["size"], seen["degrees"]
+        left = [left[0] - size, left[1] - degrees]
         trace.append({"level": level, "direction": direction, "size": size, "edges": degrees})
         if not size:
             discard(swept if direction == "bottom_up" else frontier)

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.storage import materialize_bucketed, materialize_counted
+from ..sources.storage import discard, materialize, materialize_bucketed, materialize_counted
 from . import edges as E
 
 
@@ -102,6 +102,10 @@ def skew_stats(edges: DataFrame, parts: int) -> DataFrame:
 
 #: A vertex with more edges has them in several buckets.
 HUB = 100_000
+#: Edges of a bucket, about, where the session's number of shuffle partitions makes larger ones.
+BUCKET_ROWS = 4_000_000
+#: Rows for each bucket, of what meets the edge table, that a task may hold by key; with more it sorts both sides.
+HELD_ROWS = 2_000_000
 
 
 @dataclass
@@ -119,22 +123,34 @@ class Graph:
     num_vertices: int
     degree_sum: int = 0
     hub: int = HUB
+    buckets: int = 0
 
     def pieces(self, rows: DataFrame, v: str = "v") -> DataFrame:
         """rows with src (their column v) and slot, once for each piece of the vertex's edges; rows have the vertex's degree."""
         last = F.greatest(F.lit(0), F.ceil(F.col("degree") / self.hub).cast("int") - 1)
         return rows.withColumns({"src": F.col(v), "slot": F.explode(F.sequence(F.lit(0), last))})
 
+    def edges_of(self, rows: DataFrame, count: int | None = None) -> DataFrame:
+        """The edges of rows(root, v, degree) by (src, slot). A task holds its rows by key, so that the edge table is read but not sorted, unless there are too many (count)."""
+        near = self.pieces(rows).select("root", "src", "slot")
+        return self.adj.join(near.hint("shuffle_hash") if count is not None and count <= HELD_ROWS * self.buckets else near, ["src", "slot"])
 
-def build_graph(edges: DataFrame, parts: int | None = None, hub: int = HUB) -> Graph:
-    """Degrees with duplicates; edges without."""
-    rows = F.count(F.lit(1))
-    vertices, nodes = materialize_counted(degree(edges), n=rows, degrees=F.coalesce(F.sum("degree"), F.lit(0)))
-    pairs = E.neighbours(edges)
+
+def build_graph(edges: DataFrame, parts: int | None = None, hub: int = HUB, pairs: DataFrame | None = None) -> Graph:
+    """Degrees with duplicates; edges without. The edge list is read once: degrees are sums over its pairs.
+
+    pairs: E.pairs(edges) as a table, if there is one already.
+    """
+    made = None
+    if pairs is None:
+        made = pairs = materialize(E.pairs(edges))
+    degrees = E.both_ways(pairs, "n").groupBy(F.col("src").alias("v")).agg(F.sum("n").alias("degree"))
+    vertices, nodes = materialize_counted(degrees, n=F.count(F.lit(1)), degrees=F.coalesce(F.sum("degree"), F.lit(0)))
     deg = vertices.select(F.col("v").alias("dst"), F.col("degree").alias("dst_degree"))
     hubs = vertices.where(F.col("degree") > hub).select(F.col("v").alias("src"), F.ceil(F.col("degree") / hub).alias("slots"))
     slot = F.pmod(F.xxhash64("dst"), F.coalesce("slots", F.lit(1).cast("long"))).cast("int").alias("slot")
-    wide = pairs.join(deg, "dst").join(hubs, "src", "left").select("src", slot, "dst", "dst_degree")
-    n = parts or int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    adj = materialize_bucketed(wide, ["src", "slot"], ["src", "slot", "dst"], n)
-    return Graph(edges, adj, vertices, adj.count(), nodes["n"], nodes["degrees"], hub)
+    wide = E.both_ways(pairs).join(deg, "dst").join(hubs, "src", "left").select("src", slot, "dst", "dst_degree")
+    n = parts or max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-nodes["degrees"] // BUCKET_ROWS))
+    adj = materialize_bucketed(wide, ["src", "slot"], "src", n)
+    discard(made)
+    return Graph(edges, adj, vertices, adj.count(), nodes["n"], nodes["degrees"], hub, n)

@@ -37,14 +37,17 @@ def materialize_counted(df: DataFrame, **figures: Column) -> tuple[DataFrame, di
     return out, seen.get
 
 
-def materialize_bucketed(df: DataFrame, keys: list[str], order: list[str], buckets: int) -> DataFrame:
-    """Write df in buckets of keys, sorted inside each, and read it as a table that knows so: joins on keys don't deal it out again."""
+def materialize_bucketed(df: DataFrame, keys: list[str], order: str, buckets: int) -> DataFrame:
+    """Write df in buckets of keys and read it as a table that knows so: joins on keys don't deal it out again.
+
+    Rows are brought into order first, which makes files small; sortBy() would compare whole rows, after the bucket's number.
+    """
     spark = df.sparkSession
     name = f"bucketed_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{name}"
     # Dealt like the buckets, each bucket is one file.
-    dealt = df.repartition(buckets, *keys)
-    dealt.write.bucketBy(buckets, *keys).sortBy(*order).option("path", path).format("parquet").saveAsTable(name)
+    dealt = df.repartition(buckets, *keys).sortWithinPartitions(order)
+    dealt.write.bucketBy(buckets, *keys).option("path", path).format("parquet").saveAsTable(name)
     out = spark.table(name)
     out._graphloom_path, out._graphloom_table = path, name
     return out
