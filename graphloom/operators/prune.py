@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.policy import DirectionPolicy
-from ..sources.storage import materialize
+from ..sources.storage import discard, materialize, materialize_counted
 from . import bfs as B
 from . import edges as E
 from .graph import Graph, build_graph
@@ -17,32 +17,39 @@ from .graph import Graph, build_graph
 
 @dataclass
 class Pruned:
-    """core(src, dst) and parents(v, parent, round) of the pruned vertices."""
+    """core(src, dst) and parents(v, parent, round) of the pruned vertices; pairs(lo, hi) has each edge of the core once."""
 
     core: DataFrame
     parents: DataFrame
     rounds: int
+    pairs: DataFrame
 
 
 def prune_trees(sym: DataFrame) -> Pruned:
-    """Rounds that take off all vertices with one neighbour left; of two that face each other the greater goes."""
-    pairs, gone, rounds = materialize(E.dedup(sym)), [], 0
+    """Rounds that take off all vertices with one neighbour left; of two that face each other the greater goes.
+
+    sym has each edge in both directions; each is kept once. A vertex that goes takes one edge with it, so the
+    edges that are left are those that no such (vertex, parent) equals: one join of the edges a round.
+    """
+    pairs, gone, rounds = materialize(E.pairs(sym.where("src < dst").toDF("v0", "v1")).select("lo", "hi")), [], 0
     while True:
-        ends = pairs.groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.min("dst").alias("parent")).where("n = 1")
-        ends = ends.select(F.col("src").alias("v"), "parent")
-        facing = ends.select(F.col("v").alias("parent"), F.col("parent").alias("v"), F.lit(1).alias("facing"))
-        ends = ends.join(facing, ["v", "parent"], "left").where("facing IS NULL OR v > parent")
-        ends = materialize(ends.select("v", "parent", F.lit(rounds + 1).alias("round")))
-        if ends.isEmpty():
+        ends = E.both_ways(pairs).groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.min("dst").alias("parent")).where("n = 1")
+        # Two that face each other have one edge, so they are one group.
+        ends = ends.select(F.col("src").alias("v"), F.least("src", "parent").alias("lo"), F.greatest("src", "parent").alias("hi"))
+        ends = ends.groupBy("lo", "hi").agg(F.max("v").alias("v")).withColumn("parent", F.when(F.col("v") == F.col("hi"), F.col("lo")).otherwise(F.col("hi")))
+        ends, seen = materialize_counted(ends.select("v", "parent", F.lit(rounds + 1).alias("round")), n=F.count(F.lit(1)))
+        if not seen["n"]:
+            discard(ends)
             break
         gone.append(ends)
         rounds += 1
-        off = ends.select("v")
-        rest = pairs.join(off, pairs["src"] == off["v"], "left_anti").join(off, F.col("dst") == off["v"], "left_anti")
-        pairs = materialize(rest)
+        off = ends.select(F.least("v", "parent").alias("lo"), F.greatest("v", "parent").alias("hi"))
+        rest = materialize(pairs.join(off, ["lo", "hi"], "left_anti"))
+        discard(pairs)
+        pairs = rest
     spark = sym.sparkSession
     parents = reduce(DataFrame.unionByName, gone) if gone else spark.createDataFrame([], "v long, parent long, round int")
-    return Pruned(pairs, parents, rounds)
+    return Pruned(E.both_ways(pairs), parents, rounds, pairs)
 
 
 def reachable_parents(pruned: Pruned) -> DataFrame:
@@ -61,8 +68,7 @@ def reachable_parents(pruned: Pruned) -> DataFrame:
 
 
 def core_graph(pruned: Pruned) -> Graph:
-    one = pruned.core.where("src < dst").select(F.col("src").alias("v0"), F.col("dst").alias("v1"))
-    return build_graph(one)
+    return build_graph(pruned.pairs.toDF("v0", "v1"), pairs=pruned.pairs.withColumn("n", F.lit(1).cast("long")))
 
 
 #: Rounds that one plan follows a path through.

@@ -257,3 +257,52 @@ def test_distinct_pairs_are_dealt_to_tasks_by_size(spark, tmp_path, monkeypatch)
     dealt = [int(n) for n in re.findall(r"hashpartitioning\([^()]*, (\d+)\)", hist._jdf.queryExecution().executedPlan().toString())]
     assert max(dealt) > int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert {tuple(r) for r in E.neighbours(edges).collect()} == {(v, w) for v, x in near.items() for w in x}
+
+
+def test_traversals_do_not_sort_the_edge_table(spark):
+    """A step holds the smaller side by key; sorting all edges at each level is what made levels dear."""
+    graph = G.build_graph(frame(spark, GRAPHS["random"]))
+    start = spark.createDataFrame([(0, 0, 0, 0, 5)], "root long, v long, pred long, level int, degree long")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for plan in (B.top_down_step(graph, start, start, 1), B.bottom_up_step(graph, start, B.unreached_vertices(graph, start, [0]), 1, True)):
+            lines = plan._jdf.queryExecution().executedPlan().toString().splitlines()
+            scan = next(i for i, line in enumerate(lines) if "SelectedBucketsCount" in line)
+            join = max(i for i, line in enumerate(lines[:scan]) if "Join" in line)
+            assert "ShuffledHashJoin" in lines[join] and not any("Sort" in line for line in lines[join:scan])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_bottom_up_from_either_end(spark):
+    """The edges of the frontier and those of what is unreached give the same parents, and the former don't deal out the latter."""
+    pairs = GRAPHS["random"]
+    graph = G.build_graph(frame(spark, pairs), hub=3)
+    want = plain_bfs(pairs, pairs[0][0])
+    for k in range(3):
+        rows = [(0, v, p, level, graph.vertices.where(f"v = {v}").first()["degree"]) for v, (p, level) in want.items() if level <= k]
+        levels = spark.createDataFrame(rows, "root long, v long, pred long, level int, degree long")
+        unreached = graph.vertices.selectExpr("0L AS root", "v", "degree").join(levels.select("v"), "v", "left_anti")
+        got = [{(r.v, r.pred) for r in B.bottom_up_step(graph, levels.where(f"level = {k}"), unreached, None, way).collect()} for way in (False, True)]
+        assert got[0] == got[1] and {x for x in got[0] if x[1] is not None} == {(v, p) for v, (p, level) in want.items() if level == k + 1}
+
+
+def test_pruning_writes_each_edge_once(spark, monkeypatch):
+    """The tables of a round have one row for each edge that is left, not one for each direction."""
+    written = []
+
+    def seen(name):
+        real = getattr(prune, name)
+
+        def write(df, *a, **k):
+            written.append(df.count())
+            return real(df, *a, **k)
+
+        monkeypatch.setattr(prune, name, write)
+
+    seen("materialize")
+    pruned = prune.prune_trees(E.symmetrize(frame(spark, GRAPHS["tail"] + [(7, 8), (8, 7)])))
+    assert written == [7, 5, 4, 3]
+    assert {tuple(r) for r in pruned.parents.collect()} == {(5, 4, 1), (8, 7, 1), (4, 3, 2), (3, 2, 3)}
+    assert {tuple(r) for r in pruned.core.collect()} == {(a, b) for a in range(3) for b in range(3) if a != b}
